@@ -14,6 +14,53 @@ def query(f):
     return f
 
 
+@query
+def op2_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from hashloom.llm.tokens import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+@query
+def op3_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from hashloom.llm.bpe import encode_decode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_decontamination(spark, sf_dir):
+    from hashloom.llm.decontam import contamination
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), words=13, share=(1, 20))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE["op7_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bp AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS p FROM bw WHERE len(ws) > 0),
+bwin AS (SELECT DISTINCT item_id, list_slice(ws, p, p + 12) AS ws FROM bp),
+bkey AS (SELECT item_id, array_to_string(ws, ' ') AS w, len(ws) AS n FROM bwin),
+lens AS (SELECT DISTINCT n FROM bkey),
+dp AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM dw, lens WHERE len(ws) >= n),
+hit AS (SELECT d.doc_id, d.p, d.n, b.item_id FROM (SELECT doc_id, p, n, array_to_string(list_slice(ws, p, p + n - 1), ' ') AS w FROM dp) d JOIN bkey b ON d.w = b.w AND d.n = b.n),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS i FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 @query
 def op9_warc(spark, sf_dir):
     from hashloom.llm.warc import base32_sha1, page_of, read_warc, with_revisits, write_warc
