@@ -34,6 +34,23 @@ def op3_bpe(spark, sf_dir):
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op4_language_id(spark, sf_dir):
+    from hashloom.llm.langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    crf = fit(docs.filter(~held_out()), per_lang=200)
+    found = identify(docs.select("doc_id", "text"), crf).withColumn("held_out", held_out())
+    return found.select("doc_id", "held_out", "lang_pred", "score", "n_switches")
+
+
+@query
+def op6_fingerprints(spark, sf_dir):
+    from hashloom.llm.fingerprint import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op7_decontamination(spark, sf_dir):
     from hashloom.llm.decontam import contamination
