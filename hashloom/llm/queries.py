@@ -44,6 +44,14 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", "lang_pred", "score", "n_switches")
 
 
+@query
+def op5_jaccard_join(spark, sf_dir):
+    from hashloom.llm.jaccard import jaccard_components
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs, words=4, share=(85, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op6_fingerprints(spark, sf_dir):
     from hashloom.llm.fingerprint import compare_with_next
