@@ -126,3 +126,28 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
        CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed
 FROM cut d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+
+@query
+def op8_license_scan(spark, sf_dir):
+    from hashloom.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _license_sql() -> str:
+    from hashloom.llm.licenses import oracle
+
+    return oracle()
+
+
+ORACLE["op8_license_scan"] = _license_sql()
+
+
+@query
+def op1_pii_surrogates(spark, sf_dir):
+    from hashloom.llm.pii import pseudonymize
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pseudonymize(docs, key="production-key-from-a-secret-store")
+    return found.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
