@@ -129,11 +129,14 @@ def _scrambled(key: str, kind: Column, form: Column, attempt: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(form, ""), one), "")
+    # Short addresses could run out: later tries put letters before them.
+    spare = F.translate(F.substring(_noise(key, kind, form, attempt), F.lit(1), attempt), "0123456789abcdef", "ghijklmnopabcdef")
+    ahead = F.when((kind == "email") & (attempt > 1), spare).otherwise("")
+    return F.concat(ahead, F.array_join(F.transform(F.split(form, ""), one), ""))
 
 
 def _person(key: str, form: Column, sex: Column, attempt: Column) -> Column:
-    """Given name by gender and script; surname of three syllables, the same for a surname
+    """Given name by gender and script; surname of four syllables or more, the same for a surname
     wherever it stands. Each try has another surname."""
     names = F.split(form, " ")
     two = F.size(names) == 2
@@ -146,8 +149,9 @@ def _person(key: str, form: Column, sex: Column, attempt: Column) -> Column:
 
     def surname(script: str) -> Column:
         parts = SYLLABLES[script]
-        bits = [F.element_at(F.array(*map(F.lit, parts)), F.pmod(_nibbles(sur_noise, F.lit(k)), F.lit(len(parts))) + 1) for k in range(4)]
-        return F.initcap(F.concat(*bits))
+        bits = [F.element_at(F.array(*map(F.lit, parts)), F.pmod(_nibbles(sur_noise, F.lit(k)), F.lit(len(parts))) + 1) for k in range(8)]
+        more = [F.when(attempt > k, bits[4 + k]).otherwise("") for k in range(4)]  # later tries are longer
+        return F.initcap(F.concat(*bits[:4], *more))
 
     sur = F.when(_is("cyrillic", form), surname("cyrillic")).otherwise(surname("latin"))
     return F.when(two, F.concat_ws(" ", given, sur)).otherwise(sur)
@@ -196,7 +200,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     one = forms.groupBy("kind", "form").agg(F.max("sex").alias("sex")).withColumn("attempt", F.lit(0))
     make = lambda df: df.withColumn("new", surrogate(key, F.col("kind"), F.col("form"), F.col("sex"), F.col("attempt")))
     named = written(make(one), "surrogates")
-    while True:
+    for _ in range(60):
         clash = named.groupBy("kind", F.lower("new").alias("lower")).agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n"))
         taken = named.select("kind", F.lower("form").alias("lower")).distinct().withColumn("taken", F.lit(True))
         told = named.withColumn("lower", F.lower("new")).join(clash, ["kind", "lower"]).join(taken, ["kind", "lower"], "left")
@@ -207,6 +211,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         named = new.drop("bad")
         if not new.filter("bad").limit(1).count():
             break
+    else:
+        raise ValueError("a type has more entities than its format has surrogates")
     return forms.drop("sex").join(named.select("kind", "form", "new"), ["kind", "form"]).select("kind", "raw", render(F.col("kind"), F.col("raw"), F.col("new")).alias("new"))
 
 
