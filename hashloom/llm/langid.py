@@ -247,11 +247,13 @@ def _pairs(crf: Crf, scores: np.ndarray, marginals: np.ndarray, t: np.ndarray) -
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200) -> Crf | None:
     """Fits on at most ``per_lang`` rows of each language, those of smallest id hash."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(id_col, text_col, lang_col)
-    langs = sorted(r[0] for r in rows.select(lang_col).distinct().toLocalIterator())
+    place = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 33).alias("__place")
+    rows = labelled.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(id_col, text_col, lang_col, place)
     some = None
-    for lang in langs:
-        part = rows.filter(F.col(lang_col) == lang).orderBy(F.xxhash64(F.col(id_col)), F.col(text_col)).limit(per_lang)
+    for lang, n in sorted(tuple(r) for r in rows.groupBy(lang_col).count().collect()):
+        # What is sorted stays small however many rows there are: three times what is needed.
+        upto = int(min(1.0, 3 * per_lang / n) * 2**31)
+        part = rows.filter((F.col(lang_col) == lang) & (F.col("__place") < upto)).orderBy("__place", F.col(text_col)).limit(per_lang)
         some = part if some is None else some.unionAll(part)
     return train([(r[1], r[2]) for r in some.collect()]) if some is not None else None
 
