@@ -6,6 +6,8 @@ times a 32-bit number stays below 2^48.  A 64-bit value is a BIGINT of the same
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,11 @@ def low32(x: Column) -> Column:
 
 class Steps:
     """Named intermediate columns on a frame.  A value used several times is computed by a
-    projection of its own, which keeps expressions small; all stay in one codegen stage."""
+    projection of its own, which keeps expressions small; all stay in one codegen stage.
+
+    The result is guarded by a condition that always holds but that the optimizer can't
+    fold: else a filter on the result would be pushed below and every step copied into it,
+    several times at each level.  So filter by other columns before hashing."""
 
     def __init__(self, df: DataFrame):
         self.df, self.count, self.own = df, 0, []
@@ -56,7 +62,7 @@ class Steps:
         return [F.col(n) for n in names]
 
     def done(self, name: str, value: Column) -> DataFrame:
-        return self.df.withColumn(name, value).drop(*self.own)
+        return self.df.withColumn(name, F.when(F.rand(0) >= 0, value)).drop(*self.own)
 
 
 def carried(sums: list[Column]) -> list[Column]:
@@ -88,14 +94,26 @@ def splitmix64_py(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def splitmix64(steps: Steps, x: Column) -> Column:
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, inside one expression.  Unlike a chain of projections it
+    leaves no names behind, which the optimizer would carry through joins and filters."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def times(x: Column, factor: int) -> Column:
+    """x times a constant, mod 2^64."""
+    c = limbs_of(factor)
+    sums = [sum((limb(x, i) * F.lit(c[k - i]).cast("long") for i in range(1, k + 1)), limb(x, 0) * F.lit(c[k]).cast("long")) for k in range(4)]
+    return joined(carried(sums))
+
+
+def splitmix64(x: Column) -> Column:
     """splitmix64 of a BIGINT taken as unsigned."""
-    (x,) = steps.let(joined(carried([limb(x, k) + F.lit(c).cast("long") for k, c in enumerate(limbs_of(0x9E3779B97F4A7C15))])))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        (y,) = steps.let(x.bitwiseXOR(F.shiftrightunsigned(x, shift)))
-        parts = steps.let(*[limb(y, k) for k in range(4)])
-        (x,) = steps.let(joined(product(steps, parts, [F.lit(c).cast("long") for c in limbs_of(factor)], 4)))
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+    start = joined(carried([limb(x, k) + F.lit(c).cast("long") for k, c in enumerate(limbs_of(0x9E3779B97F4A7C15))]))
+    folded = lambda y, shift: y.bitwiseXOR(F.shiftrightunsigned(y, shift))
+    one = bound(bound(start, lambda y: folded(y, 30)), lambda y: times(y, 0xBF58476D1CE4E5B9))
+    two = bound(bound(one, lambda y: folded(y, 27)), lambda y: times(y, 0x94D049BB133111EB))
+    return bound(two, lambda y: folded(y, 31))
 
 
 def fast_range32(h: Column, n: int) -> Column:

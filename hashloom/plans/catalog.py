@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions import families as fam
 from hashloom.functions import params
-from hashloom.functions.u64 import Steps, fast_range32, splitmix64
+from hashloom.functions.u64 import fast_range32, splitmix64
 from hashloom.operators import exact, metrics, sketches
 from hashloom.plans import experiments, sql
 from hashloom.sources import datasets, extract
@@ -218,8 +218,7 @@ for _name in fam.byte_families():
 
 @query("hash_splitmix64", f"SELECT key, hex({sql.splitmix64('key::UBIGINT')}) AS h FROM ({A2_DISTINCT_SQL})")
 def hash_splitmix64(spark, sf_dir):
-    steps = Steps(a2(spark, sf_dir).distinct())
-    return steps.done("h", F.hex(splitmix64(steps, F.col("key"))))
+    return a2(spark, sf_dir).distinct().select("key", F.hex(splitmix64(F.col("key"))).alias("h"))
 
 
 @query("hash_row_and_range", f"SELECT key, {sql.row_hash('key', 2654435769, 12345)} AS h, {sql.fast_range32(sql.row_hash('key', 2654435769, 12345), 1000)} AS bucket FROM ({A2_DISTINCT_SQL})")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hashloom.functions.params import draw
-from hashloom.functions.u64 import Steps, fast_range32, signed, splitmix64
+from hashloom.functions.u64 import fast_range32, signed, splitmix64
 
 #: Sizes of the pools and of the streams drawn from them.
 POOL_N, STREAM_N = 250_000, 500_000
@@ -34,15 +34,13 @@ def a1(spark: SparkSession, n: int = STREAM_N) -> DataFrame:
 
 def split(stream: DataFrame, seed: int = 0, pos: str = "pos") -> DataFrame:
     """Adds side (0 or 1): the lowest bit of splitmix64(seed + pos)."""
-    steps = Steps(stream)
-    start = F.col(pos).cast("long") if seed == 0 else None
-    if start is None:
+    start = F.col(pos).cast("long")
+    if seed:
         # The sum wraps; adding in halves stays within BIGINT.
-        low = F.col(pos).bitwiseAND(0xFFFFFFFF) + F.lit(seed & 0xFFFFFFFF).cast("long")
-        high = F.shiftrightunsigned(F.col(pos).cast("long"), 32) + F.lit(seed >> 32 & 0xFFFFFFFF).cast("long") + F.shiftrightunsigned(low, 32)
+        low = start.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) + F.lit(seed & 0xFFFFFFFF).cast("long")
+        high = F.shiftrightunsigned(start, 32) + F.lit(seed >> 32 & 0xFFFFFFFF).cast("long") + F.shiftrightunsigned(low, 32)
         start = F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
-    (start,) = steps.let(start)
-    return steps.done("side", splitmix64(steps, start).bitwiseAND(F.lit(1).cast("long")).cast("int"))
+    return stream.withColumn("side", splitmix64(start).bitwiseAND(F.lit(1).cast("long")).cast("int"))
 
 
 def halves(stream: DataFrame, n: int, pos: str = "pos") -> DataFrame:
@@ -62,9 +60,8 @@ def draws(spark: SparkSession, pool_size: int, n: int = STREAM_N, seed: int = 0)
     if pool_size < 1:
         raise ValueError("the pool is empty")
     base = draw(seed, "draw")
-    steps = Steps(spark.range(n).select(F.col("id").alias("pos")))
-    (start,) = steps.let(F.col("pos").bitwiseXOR(F.lit(signed(base)).cast("long")))
-    return steps.done("idx", fast_range32(F.shiftrightunsigned(splitmix64(steps, start), 32), pool_size))
+    h = splitmix64(F.col("id").bitwiseXOR(F.lit(signed(base)).cast("long")))
+    return spark.range(n).select(F.col("id").alias("pos"), fast_range32(F.shiftrightunsigned(h, 32), pool_size).alias("idx"))
 
 
 def sample_stream(pool_rows: DataFrame, n: int = STREAM_N, seed: int = 0) -> DataFrame:
@@ -74,10 +71,8 @@ def sample_stream(pool_rows: DataFrame, n: int = STREAM_N, seed: int = 0) -> Dat
 
 def random_values(spark: SparkSession, n: int, seed: int = 0, width: int = 64) -> DataFrame:
     """(pos, value): the entropy pool as a counter generator; the upper ``width`` bits."""
-    steps = Steps(spark.range(n).select(F.col("id").alias("pos")))
-    (start,) = steps.let(F.col("pos").bitwiseXOR(F.lit(signed(draw(seed, "entropy"))).cast("long")))
-    value = splitmix64(steps, start)
-    return steps.done("value", value if width == 64 else F.shiftrightunsigned(value, 64 - width))
+    value = splitmix64(F.col("id").bitwiseXOR(F.lit(signed(draw(seed, "entropy"))).cast("long")))
+    return spark.range(n).select(F.col("id").alias("pos"), (value if width == 64 else F.shiftrightunsigned(value, 64 - width)).alias("value"))
 
 
 def hex_ids(lines: DataFrame, col: str = "value") -> DataFrame:
