@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from hashloom.llm.merging import Pairs, merge_one, merge_words
 
@@ -210,7 +211,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", with
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     schema = docs.drop(text_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(_run(model, text_col, with_ids), schema)
 
 

@@ -17,7 +17,7 @@ that takes several passes over the documents, whose hits are then merged per doc
 
 Defined cases: null and empty texts have no words; equal windows of several items count
 for each of them; repeated rows give a row each (rows are grouped by id and text hash
-where there are several blocks); null item ids are left out of the items counted but
+where there are several blocks); columns named as results are replaced; null item ids are left out of the items counted but
 their windows still hit.
 """
 
@@ -215,6 +215,7 @@ def contamination(
 ) -> DataFrame:
     """``docs`` without the text, plus n_words, n_hit, items (sorted strings), n_items and
     contaminated: at least ``share`` of the words lie inside windows of the benchmark."""
+    docs = docs.drop("n_words", "n_hit", "items", "n_items", "contaminated", "starts", "ends")
     keep = [c for c in docs.columns if c != text_col]
     bench = benchmark.select(F.col(item_col).alias("__item"), utf8(item_text_col).alias("__text")).filter("__text is not null")
     # A window repeats its words up to `words` times, so that a block is bounded by its windows.

@@ -65,7 +65,7 @@ def base32_sha1(binary: Column) -> Column:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """``pages`` plus payload (string, never null), payload_bytes, payload_digest,
     record_type and refers_to (the id of the response that a revisit repeats)."""
-    digested = pages.withColumns({"payload": F.coalesce(F.col(payload_col).cast("string"), F.lit(""))})
+    digested = pages.drop("record_type", "refers_to").withColumns({"payload": F.coalesce(F.col(payload_col).cast("string"), F.lit(""))})
     digested = digested.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload").cast("binary"))})
     small = digested.select(F.col(id_col).alias("__id"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes"))
     first = small.filter(F.col("__bytes") >= min_bytes).groupBy("__digest").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
