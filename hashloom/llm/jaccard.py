@@ -9,16 +9,18 @@ each in that order (the prefix principle), and their sizes lie in the same or in
 bands of a geometric scale; a tile is a prefix shingle and a band.  Frequencies only shape
 the order, never the result: they are gathered by lossy counting, with a size bound.
 
-Stars.  In each tile every member is compared with a leader, a few rounds with different
-leaders; what links is one component.  In a group of near copies this settles nearly all,
-at a cost in proportion to its members.
+Small tiles.  All pairs of a tile of up to ``SMALL`` sets are candidates.
 
-Pairs.  What is left are pairs of one tile and different components.  They are compared by
-bitmap signatures: a bit for each hash modulo the width, flipped by each member.  A
-differing bit needs a shingle that one set has alone, so the count of differing bits bounds
-the overlap from above.  Large tiles are cut into chunks, and each pair of chunks is a
-task's work.  Pairs that the bound lets pass, like those of the stars, are settled by exact
-intersection of the sorted arrays.
+Stars.  In each larger tile every member is compared with a leader, a few rounds with
+different leaders; what links is one component.  In a group of near copies this settles
+nearly all, at a cost in proportion to its members.  What is left are pairs of one tile
+and different components; large tiles are cut into chunks, and each pair of chunks is a
+task's work.
+
+Bitmaps.  Every candidate is first compared by signatures: a bit for each hash modulo the
+width, flipped by each member.  A differing bit needs a shingle that one set has alone, so
+the count of differing bits bounds the overlap from above.  Only documents of a pair that
+the bound lets pass have their sorted arrays shipped, for the exact intersection.
 
 Defined cases: null and empty texts, and texts without words, have empty sets, link with
 nothing and are their own components; a text of fewer words than a shingle is one shingle;
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,6 +47,7 @@ FREQUENT = 48  # documents from which a shingle goes to the end of the order
 FREQUENT_MAX = 1 << 17  # at most so many of them, the most frequent ones
 FILTER_BITS = 23
 CHUNK = 1024
+SMALL = 16
 ROUNDS = 3
 
 
@@ -133,61 +137,113 @@ def frequent_shingles(rows: DataFrame, words: int) -> np.ndarray:
     return np.sort(found)
 
 
-def _described(words: int, share: tuple[int, int], frequent: np.ndarray):
-    """Each document's set size, set hash and prefix."""
+def _described(words: int):
+    """Each document's set size and set hash."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, sizes, keys, prefixes = [], [], [], []
+            ids, sizes, keys = [], [], []
             for some, texts in _texts(batch):
                 ids += some
                 for s in shingle_sets(texts, words):
+                    sizes.append(len(s))
+                    keys.append(_key(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n", "key"])
+
+    return run
+
+
+def _key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _prefixes(words: int, share: tuple[int, int], frequent: np.ndarray):
+    """Key, size, prefix and signature of every set that isn't empty."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, sizes, keys, prefixes, sigs = [], [], [], [], []
+            for some, texts in _texts(batch):
+                for i, s in zip(some, shingle_sets(texts, words), strict=True):
                     n = len(s)
+                    if not n or i is None:
+                        continue
+                    ids.append(i)
                     sizes.append(n)
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
-                    k = n - -(-share[0] * n // share[1]) + 1 if n else 0
-                    if n and len(frequent):
+                    keys.append(_key(s))
+                    sigs.append(signature(s, width_of(n)).tobytes())
+                    k = n - -(-share[0] * n // share[1]) + 1
+                    if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         often = frequent[at] == s
                         first = s[~often][:k]
                         s = np.concatenate((first, s[often][: k - len(first)])) if len(first) < k else first
                     prefixes.append(s[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                names=["doc_id", "n", "key", "prefix", "sig"],
             )
 
     return run
 
 
-def band_of(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    return np.floor(np.log(n) / math.log(share[1] / share[0]) + 1e-9).astype(np.int32)
+def _tiles(share: tuple[int, int]):
+    """Of rows (h, rep, n) sorted by h: the pairs of small tiles as (a, b, null, null), and
+    the rows of larger ones as (null, rep, h, n).  Tiles of one set have none."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def _tiles(batches):
-    """Rows (h, rep, n) sorted by h, without the shingles that only one set has; a run of
-    equal h may be longer than a batch."""
-    import pyarrow as pa
+        held, large = None, None  # rows of the last tile while it is small; its h once it is not
+        for batch in _with_end(batches):
+            if batch is not None:
+                h, rep, n = (batch.column(k).to_numpy() for k in range(3))
+                if held is not None:
+                    h, rep, n = (np.concatenate(x) for x in zip(held, (h, rep, n), strict=True))
+            elif held is None:
+                break
+            else:
+                h, rep, n = held
+            if not len(h):
+                continue
+            cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+            size = np.diff(cuts)
+            tile = np.repeat(np.arange(len(size)), size)
+            big = size > SMALL
+            if large is not None and h[0] == large:
+                big[0] = True
+            large = h[-1] if big[-1] else None
+            done = len(h) if batch is None or big[-1] else int(cuts[-2])
+            held = None if done == len(h) else (h[done:], rep[done:], n[done:])
+            h, rep, n, tile = h[:done], rep[:done], n[:done], tile[:done]
+            left, right = [], []
+            small = ~big[tile]
+            for d in range(1, SMALL):
+                i = np.flatnonzero(small[:-d] & (tile[d:] == tile[:-d])) if done > d else []
+                if not len(i):
+                    break
+                j = i + d
+                fits = (np.minimum(n[i], n[j]) * share[1] >= np.maximum(n[i], n[j]) * share[0]) & (rep[i] != rep[j])
+                left.append(np.minimum(rep[i], rep[j])[fits])
+                right.append(np.maximum(rep[i], rep[j])[fits])
+            if left:
+                both = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), axis=1), axis=0)
+                none = pa.nulls(len(both), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), none, none], names=["a", "b", "h", "n"])
+            at = np.flatnonzero(~small)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(rep[at]), pa.array(h[at]), pa.array(n[at])], names=["a", "b", "h", "n"])
+
+    return run
 
-    held, shared, last = None, False, None  # the last row if it isn't given out yet
-    for batch in batches:
-        h, rep, n = (batch.column(k).to_numpy() for k in range(3))
-        if not len(h):
-            continue
-        joined = last is not None and shared and h[0] == last
-        if held is not None:
-            h, rep, n = np.r_[held[0], h], np.r_[held[1], rep], np.r_[held[2], n]
-        same = h[1:] == h[:-1]
-        keep = np.zeros(len(h), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if joined:
-            keep |= h == last
-        last, shared = h[-1], bool(keep[-1])
-        held = None if shared else (h[-1:], rep[-1:], n[-1:])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, rep, n)], names=["h", "rep", "n"])
+
+def _with_end(batches):
+    yield from batches
+    yield None
 
 
 def signature(s: np.ndarray, width: int) -> np.ndarray:
@@ -207,7 +263,7 @@ def fold(sig: np.ndarray, width: int) -> np.ndarray:
 
 
 def _sets(words: int, wanted: np.ndarray):
-    """(rep, n, sig, set) of the documents whose id passes the filter."""
+    """(rep, set) of the documents whose id passes the filter."""
 
     def run(batches):
         import pyarrow as pa
@@ -217,16 +273,8 @@ def _sets(words: int, wanted: np.ndarray):
             hit = (wanted[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
             some = batch.filter(pa.array(hit == 1))
             for ids, texts in _texts(some):
-                sets = shingle_sets(texts, words)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([signature(s, width_of(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ],
-                    names=["rep", "n", "sig", "set"],
-                )
+                sets = [s.tobytes() for s in shingle_sets(texts, words)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "set"])
 
     return run
 
@@ -257,20 +305,35 @@ def linked(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
     return share[1] * both >= share[0] * (len(x) + len(y) - both)
 
 
-def _verify(share: tuple[int, int]):
-    def run(batches):
-        import pyarrow as pa
+def _kept(batch, keep):
+    import pyarrow as pa
+
+    return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
+def _bounded(share: tuple[int, int]):
+    """Pairs whose bitmaps let them pass."""
 
+    def run(batches):
         for batch in batches:
-            c = {k: batch.column(k).to_pylist() for k in batch.schema.names}
+            c = {k: batch.column(k).to_pylist() for k in ("na", "nb", "siga", "sigb")}
             keep = []
-            for na, nb, sa, sb, xa, xb in zip(c["na"], c["nb"], c["siga"], c["sigb"], c["seta"], c["setb"], strict=True):
+            for na, nb, sa, sb in zip(*c.values(), strict=True):
                 sa, sb = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
                 width = min(len(sa), len(sb)) * 64
                 differ = int(np.bitwise_count(fold(sa, width) ^ fold(sb, width)).sum())
                 most = (na + nb - differ) // 2
-                keep.append(share[1] * most >= share[0] * (na + nb - most) and linked(np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64), share))
-            yield pa.RecordBatch.from_pydict({"a": np.array(c["a"], np.int64)[keep], "b": np.array(c["b"], np.int64)[keep]}) if any(keep) else pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+                keep.append(share[1] * most >= share[0] * (na + nb - most))
+            yield _kept(batch, keep)
+
+    return run
+
+
+def _verify(share: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            sets = zip(batch.column("seta").to_pylist(), batch.column("setb").to_pylist(), strict=True)
+            yield _kept(batch, [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share) for x, y in sets])
 
     return run
 
@@ -307,13 +370,13 @@ def _tile_pairs(share: tuple[int, int]):
             both = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
 
-        for _, _, _, _, own, rep, comp, n, sig, chunk, left, right in _runs(batches, 4):
+        for _, _, i0, j0, own, rep, comp, n, sig, chunk in _runs(batches, 4):
             order = np.argsort(n, kind="stable")
             own, rep, comp, n, chunk = (x[order] for x in (own, rep, comp, n, chunk))
             sigs = [np.frombuffer(sig[i], np.uint64) for i in order.tolist()]
             width = min(map(len, sigs)) * 64
             bits = np.stack([fold(s, width) for s in sigs])
-            across = left[0] != right[0]
+            across = i0[0] != j0[0]
             for i in range(len(n) - 1):
                 hi = int(np.searchsorted(n, share[1] * n[i] // share[0], "right"))
                 j = np.arange(i + 1, hi)
@@ -338,58 +401,45 @@ def _tile_pairs(share: tuple[int, int]):
     return run
 
 
-def _settle(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that link."""
-    side = lambda s: sets.select(*(F.col(c).alias(f"{c}{s}") for c in ("n", "sig", "set")), F.col("rep").alias(s))
-    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "siga", "sigb", "seta", "setb")
-    return full.mapInArrow(_verify(share), "a long, b long")
+def _sides(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    side = lambda s: table.select(*(F.col(c).alias(f"{c}{s}") for c in columns), F.col("rep").alias(s))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *(f"{c}{s}" for c in columns for s in "ab"))
+
+
+def _settle(pairs: DataFrame, sigs: DataFrame, placed: DataFrame, words: int, share: tuple[int, int]) -> DataFrame | None:
+    """The pairs (a, b) that link; None if there are none."""
+    may = written(_sides(pairs, sigs, ("n", "sig")).mapInArrow(_bounded(share), "a long, b long"), "may")
+    if not may.limit(1).count():
+        return None
+    ids = may.select(F.col("a").alias("rep")).unionAll(may.select("b")).distinct()
+    sets = written(placed.mapInArrow(_sets(words, _filter_of(ids)), "rep long, set binary"), "sets")
+    links = written(_sides(may, sets, ("set",)).mapInArrow(_verify(share), "a long, b long"), "links")
+    forget(sets)
+    forget(may)
+    return links if links.limit(1).count() else None
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links) and
     class_id (the smallest id of equal set)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    placed = rows.filter("doc_id is not null").withColumn("place", _place("doc_id"))
     frequent = frequent_shingles(rows, words)
-    told = written(rows.mapInArrow(_described(words, share, frequent), "doc_id long, n long, key binary, prefix array<long>"), "described")
+    told = written(rows.mapInArrow(_described(words), "doc_id long, n long, key binary"), "described")
     classes = told.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    stand = told.join(classes, (told["doc_id"] == classes["rep"]) & (told["key"] == classes["key"])).select("rep", "n", "prefix").dropDuplicates(["rep", "n"])
+    # Equal sets have equal prefixes and signatures, so any will do.
+    each = rows.mapInArrow(_prefixes(words, share, frequent), "doc_id long, n long, key binary, prefix array<long>, sig binary")
+    any_of = [F.first(c).alias(c) for c in ("n", "prefix", "sig")]
+    stand = written(each.groupBy("key").agg(F.min("doc_id").alias("rep"), *any_of).drop("key"), "sets")
+    sigs = stand.select("rep", "n", "sig")
+    by_shingle = stand.select(F.explode("prefix").alias("h"), "rep", "n").repartition("h").sortWithinPartitions("h")
+    dealt = written(by_shingle.mapInArrow(_tiles(share), "a long, b long, h long, n long"), "tiles")
+    links = [_settle(dealt.filter("h is null").select("a", "b").distinct(), sigs, placed, words, share)]
     band = F.floor(F.log("n") / math.log(share[1] / share[0]) + 1e-9).cast("int")
-    tiles = written(
-        stand.select(F.explode("prefix").alias("h"), "rep", "n").repartition("h").sortWithinPartitions("h").mapInArrow(_tiles, "h long, rep long, n long").withColumn("band", band),
-        "tiles",
-    )
-    placed = rows.filter("doc_id is not null").withColumn("place", _place("doc_id"))
-    sets = written(placed.mapInArrow(_sets(words, _filter_of(tiles.select("rep").distinct())), "rep long, n long, sig binary, set binary").dropDuplicates(["rep", "n", "sig"]), "sets")
-    links, comp = None, None
-    for k in range(ROUNDS):
-        now = tiles if comp is None else tiles.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-        now = now.withColumn("comp", F.col("rep")) if comp is None else now
-        lead = now.groupBy("h", "band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), F.col("rep").alias("leader"), F.col("comp").alias("lcomp"))).alias("l"))
-        told_of = now.join(lead, ["h", "band"]).filter("comp <> l.lcomp").groupBy("rep", F.col("l.leader").alias("leader")).count()
-        best = told_of.groupBy("rep").agg(F.max(F.struct("count", "leader")).alias("m"))
-        pairs = best.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct()
-        new = written(_settle(pairs, sets, share), "links")
-        if new.limit(1).count():
-            links = new if links is None else links.unionAll(new)
-            comp = components(links)
-    # What is left: tiles of several components.
-    if comp is None:
-        now = tiles.withColumn("comp", F.col("rep"))
-    else:
-        now = tiles.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    places = now.select("h", F.explode(F.array(F.struct("band", F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))).alias("p"), "rep", "comp", "n").select("h", "p.band", "p.own", "rep", "comp", "n")
-    mixed = places.groupBy("h", "band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("own").alias("home")).filter("c1 <> c2 and home")
-    mixed = mixed.select("h", "band", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    left = written(places.join(mixed, ["h", "band"]), "left")
-    withsig = left.join(sets.select("rep", "n", "sig"), ["rep", "n"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    dealt = withsig.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("h", "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "own", "rep", "comp", "n", "sig", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"))
-    spread = dealt.repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
-    pairs = written(spread.mapInArrow(_tile_pairs(share), "a long, b long").distinct(), "pairs")
-    new = written(_settle(pairs, sets, share), "links")
-    if new.limit(1).count():
-        links = new if links is None else links.unionAll(new)
-        comp = components(links)
+    large = dealt.filter("h is not null").select("h", F.col("b").alias("rep"), "n", band.alias("band"))
+    if large.limit(1).count():
+        _large(large, links, sigs, placed, words, share)
+    comp = _linked_components(links)
     if comp is not None:
         classes = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     else:
@@ -402,3 +452,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own.otherwise(F.coalesce("component", "rep", "doc_id")).alias("component_id"),
         own.otherwise(F.coalesce("rep", "doc_id")).alias("class_id"),
     )
+
+
+def _linked_components(links: list[DataFrame | None]) -> DataFrame | None:
+    found = [x for x in links if x is not None]
+    return components(reduce(DataFrame.unionAll, found)) if found else None
+
+
+def _large(tiles: DataFrame, links: list[DataFrame | None], sigs: DataFrame, placed: DataFrame, words: int, share: tuple[int, int]) -> None:
+    """Appends the links that tiles of more than SMALL sets add."""
+
+    def with_components() -> DataFrame:
+        comp = _linked_components(links)
+        if comp is None:
+            return tiles.withColumn("comp", F.col("rep"))
+        return tiles.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+    now = written(with_components(), "large")
+    for k in range(ROUNDS):
+        lead = now.groupBy("h", "band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), F.col("rep").alias("leader"), F.col("comp").alias("lcomp"))).alias("l"))
+        told_of = now.join(lead, ["h", "band"]).filter("comp <> l.lcomp").groupBy("rep", F.col("l.leader").alias("leader")).count()
+        best = told_of.groupBy("rep").agg(F.max(F.struct("count", "leader")).alias("m"))
+        new = _settle(best.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct(), sigs, placed, words, share)
+        if new is not None:
+            links.append(new)
+            now = written(with_components(), "large")
+    twice = F.array(F.struct("band", F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))
+    places = now.select("h", F.explode(twice).alias("p"), "rep", "comp", "n").select("h", "p.band", "p.own", "rep", "comp", "n")
+    mixed = places.groupBy("h", "band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("own").alias("home")).filter("c1 <> c2 and home")
+    mixed = mixed.select("h", "band", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    left = places.join(mixed, ["h", "band"]).join(sigs.select("rep", "sig"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
+    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("h", "band", i.alias("i"), j.alias("j"), "own", "rep", "comp", "n", "sig", "chunk")
+    spread = dealt.repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
+    pairs = written(spread.mapInArrow(_tile_pairs(share), "a long, b long").distinct(), "pairs")
+    links.append(_settle(pairs, sigs, placed, words, share))
