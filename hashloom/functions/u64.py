@@ -6,10 +6,11 @@ times a 32-bit number stays below 2^48.  A 64-bit value is a BIGINT of the same
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 M16, M32, M64 = 0xFFFF, 0xFFFFFFFF, (1 << 64) - 1
 
@@ -94,26 +95,20 @@ def splitmix64_py(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x) with x computed once, inside one expression.  Unlike a chain of projections it
-    leaves no names behind, which the optimizer would carry through joins and filters."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
-def times(x: Column, factor: int) -> Column:
-    """x times a constant, mod 2^64."""
-    c = limbs_of(factor)
-    sums = [sum((limb(x, i) * F.lit(c[k - i]).cast("long") for i in range(1, k + 1)), limb(x, 0) * F.lit(c[k]).cast("long")) for k in range(4)]
-    return joined(carried(sums))
-
-
 def splitmix64(x: Column) -> Column:
-    """splitmix64 of a BIGINT taken as unsigned."""
-    start = joined(carried([limb(x, k) + F.lit(c).cast("long") for k, c in enumerate(limbs_of(0x9E3779B97F4A7C15))]))
-    folded = lambda y, shift: y.bitwiseXOR(F.shiftrightunsigned(y, shift))
-    one = bound(bound(start, lambda y: folded(y, 30)), lambda y: times(y, 0xBF58476D1CE4E5B9))
-    two = bound(bound(one, lambda y: folded(y, 27)), lambda y: times(y, 0x94D049BB133111EB))
-    return bound(two, lambda y: folded(y, 31))
+    """splitmix64 of a BIGINT taken as unsigned.  Its two 64-bit products would be some
+    hundred limb operations as Columns, so it is an Arrow batch function."""
+
+    @F.pandas_udf(T.LongType())
+    def f(k: pd.Series) -> pd.Series:
+        null = k.isna()
+        h = k.fillna(0).to_numpy(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out = pd.Series((h ^ (h >> np.uint64(31))).view(np.int64))
+        return out.mask(null) if null.any() else out
+
+    return f(x.cast("long"))
 
 
 def fast_range32(h: Column, n: int) -> Column:
