@@ -505,7 +505,7 @@ def accuracy_bottomk_a1(spark, sf_dir):
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_countmin", f"SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, 0 AS row, {sql.fast_range32(sql.multiply_shift('user_id', SEED), 64)} AS col, least(count(*), 4294967295) AS cnt FROM events GROUP BY ALL")

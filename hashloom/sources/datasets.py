@@ -77,7 +77,7 @@ def random_values(spark: SparkSession, n: int, seed: int = 0, width: int = 64) -
 
 def hex_ids(lines: DataFrame, col: str = "value") -> DataFrame:
     """``lines`` whose first 40 characters after blanks are hex digits, plus key (20 bytes)."""
-    return lines.filter(F.col(col).rlike(r"^[ \t\r\n]*[0-9a-fA-F]{40}")).withColumn("key", F.unhex(F.substring(F.ltrim(F.lit(" \t\r\n"), F.col(col)), 1, 40)))
+    return lines.filter(F.col(col).rlike(r"^[ \t\r\n]*[0-9a-fA-F]{40}")).withColumn("key", F.unhex(F.substring(F.ltrim(F.col(col), F.lit(" \t\r\n")), 1, 40)))
 
 
 def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ SPEED = "function string, Mhash_s double, ns_per_hash double, checksum_hex strin
 def sha1_ids(texts: DataFrame, col: str = "text") -> DataFrame:
     """(sha): every SHA-1 in the texts, in lower case, distinct and sorted."""
     found = F.explode(F.regexp_extract_all(F.col(col), F.lit(SHA1), F.lit(0)))
-    return texts.filter(F.col(col).rlike(SHA1)).select(F.lower(found).alias("sha")).distinct().orderBy("sha")
+    return texts.filter(F.col(col).rlike(SHA1)).select(found.alias("s")).select(F.lower("s").alias("sha")).distinct().orderBy("sha")
 
 
 def json_events(rows: DataFrame, col: str = "value") -> DataFrame:
@@ -49,7 +49,7 @@ def joined_words(words: DataFrame, pos: str = "pos", word: str = "word", per_row
 
 def write_accuracy(rows: DataFrame, path: str) -> None:
     """CSV with header; errors to eight places."""
-    rows.select("function", "rep", F.format_number("relerr", "0.00000000").alias("relerr")).write.mode("overwrite").option("header", True).csv(path)
+    rows.select("function", "rep", F.format_string("%.8f", "relerr").alias("relerr")).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_accuracy(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +57,7 @@ def read_accuracy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_speed(rows: DataFrame, path: str) -> None:
-    six = lambda c: F.format_number(c, "0.000000")
+    six = lambda c: F.format_string("%.6f", c)
     rows.select("function", six("mhash_s").alias("Mhash_s"), six("ns_per_hash").alias("ns_per_hash"), F.concat(F.lit("0x"), F.lower(F.hex("checksum"))).alias("checksum_hex"), "loops", F.col("n").alias("N")).write.mode("overwrite").option("header", True).csv(path)
 
 
