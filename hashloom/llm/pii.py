@@ -52,7 +52,7 @@ _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d|\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -63,7 +63,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What each match has: cheap to look for before the patterns are tried.
-HINT = rf"[@\d]|AKIA|gh[opsu]_|(?:{_TITLE})\.?[ ]\p{{Lu}}|(?:{_GIVEN})[ ]\p{{Lu}}"
+HINT = rf"[@\d]|(?<![\p{{L}}\d])(?:AKIA|gh[opsu]_|(?:{_TITLE})\.?[ ]\p{{Lu}}|(?:{_GIVEN})[ ]\p{{Lu}})"
 
 
 def _kind(raw: Column) -> Column:
