@@ -11,8 +11,8 @@ the order, never the result: they are gathered by lossy counting, with a size bo
 
 Small tiles.  All pairs of a tile of up to ``SMALL`` sets are candidates.
 
-Stars.  In each larger tile every member is compared with a leader, a few rounds with
-different leaders; what links is one component.  In a group of near copies this settles
+Stars.  In each larger tile every member is compared with ``LEADERS`` leaders, in a few
+rounds with different ones; what links is one component.  In a group of near copies this settles
 nearly all, at a cost in proportion to its members.  What is left are pairs of one tile
 and different components; large tiles are cut into chunks, and each pair of chunks is a
 task's work.
@@ -48,7 +48,7 @@ FREQUENT_MAX = 1 << 17  # at most so many of them, the most frequent ones
 FILTER_BITS = 23
 CHUNK = 1024
 SMALL = 16
-ROUNDS = 3
+ROUNDS, LEADERS = 2, 6
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -470,9 +470,11 @@ def _large(tiles: DataFrame, links: list[DataFrame | None], sigs: DataFrame, pla
 
     now = written(with_components(), "large")
     for k in range(ROUNDS):
-        lead = now.groupBy("h", "band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), F.col("rep").alias("leader"), F.col("comp").alias("lcomp"))).alias("l"))
-        told_of = now.join(lead, ["h", "band"]).filter("comp <> l.lcomp").groupBy("rep", F.col("l.leader").alias("leader")).count()
-        best = told_of.groupBy("rep").agg(F.max(F.struct("count", "leader")).alias("m"))
+        order = [F.min(F.struct(F.xxhash64("rep", F.lit(k * LEADERS + i)).alias("o"), F.col("rep").alias("leader"), F.col("comp").alias("lcomp"))).alias(f"l{i}") for i in range(LEADERS)]
+        lead = now.groupBy("h", "band").agg(*order)
+        each = now.join(lead, ["h", "band"]).select("rep", "comp", F.posexplode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("i", "l"))
+        told_of = each.filter("comp <> l.lcomp").groupBy("rep", "i", F.col("l.leader").alias("leader")).count()
+        best = told_of.groupBy("rep", "i").agg(F.max(F.struct("count", "leader")).alias("m"))
         new = _settle(best.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct(), sigs, placed, words, share)
         if new is not None:
             links.append(new)
