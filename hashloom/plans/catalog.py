@@ -331,13 +331,13 @@ def a1_repeats(spark, sf_dir):
     return a2(spark, sf_dir).distinct().select("key", datasets.a1_repeats(F.col("key")).alias("repeats"))
 
 
-POOL, STREAM = 10_000, 20_000
+POOL, STREAM = datasets.POOL_N, datasets.STREAM_N
 
 
 _START = sql.splitmix64(f"xor(range::UBIGINT, {params.draw(SEED, 'draw')}::UBIGINT)")
 POOL_SQL = f"""
 WITH p AS (SELECT o_custkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders QUALIFY idx < {POOL}),
-d AS (SELECT range AS pos, {sql.fast_range32(f"({_START} >> 32)", POOL)} AS idx FROM range({STREAM}))
+d AS (SELECT range AS pos, {sql.fast_range32(f"({_START} >> 32)", f"(SELECT least(count(*), {POOL}) FROM orders)")} AS idx FROM range({STREAM}))
 SELECT pos, key FROM d JOIN p USING (idx)"""
 
 
@@ -376,7 +376,8 @@ def hex_ids(spark, sf_dir):
     return datasets.hex_ids(lines).select(F.lower(F.hex("key")).alias("sha"))
 
 
-FIRST = 5_000
+#: The sizes of the published extraction.
+FIRST, PER_ROW = 1_000_000, 10_000
 
 
 @query("first_words", rf"SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, w AS word FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS ws FROM documents)) WHERE w <> '' QUALIFY pos < {FIRST}")
@@ -384,9 +385,9 @@ def first_words(spark, sf_dir):
     return datasets.first_words(table(spark, sf_dir, "documents"), FIRST)
 
 
-@query("joined_words", rf"WITH f AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, w FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS ws FROM documents)) WHERE w <> '' QUALIFY pos < {FIRST}) SELECT pos // 100 AS row, string_agg(w, ' ' ORDER BY pos) AS text FROM f GROUP BY 1")
+@query("joined_words", rf"WITH f AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, w FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS ws FROM documents)) WHERE w <> '' QUALIFY pos < {FIRST}) SELECT pos // {PER_ROW} AS row, string_agg(w, ' ' ORDER BY pos) AS text FROM f GROUP BY 1")
 def joined_words(spark, sf_dir):
-    return extract.joined_words(datasets.first_words(table(spark, sf_dir, "documents"), FIRST), per_row=100)
+    return extract.joined_words(datasets.first_words(table(spark, sf_dir, "documents"), FIRST), per_row=PER_ROW)
 
 
 # -- metrics -----------------------------------------------------------------------------
