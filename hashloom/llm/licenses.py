@@ -1,7 +1,7 @@
 """License scans: MinHash bands over overlapping windows of words, then exact containment.
 
 Templates are short notices and the opening paragraphs of common licenses.  For each size
-class of templates, a text is cut into overlapping windows of that many words.  A window
+class of templates, a text has a window of that many words at every word.  A window
 and a template whose MinHash agrees in one of ``BANDS`` bands (of one row each) are a
 candidate; the template's shingles of five words that the window holds are then counted
 exactly, and at least ``THRESHOLD`` of them must be there.  A window that passes is at
@@ -69,7 +69,9 @@ def class_of(n: int) -> int:
 
 
 def stride(window: int) -> int:
-    return max(1, window // 10)
+    """Every position: a window is no longer than its longest template, so one that is off
+    by a word has lost a shingle of it."""
+    return 1
 
 
 def shingles(words: list[str]) -> list[str]:

@@ -60,3 +60,21 @@ def test_licenses(spark):
     assert {i for i, _ in got} == set(range(len(licenses.TEMPLATES)))
     assert licenses.miss_bound() < 1e-3
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_edited_licenses_at_every_offset(spark):
+    held = lambda sh, words: len(set(sh) & set(licenses.shingles(words))) / len(set(sh))
+    rows, want = [], set()
+    for name, t in licenses.TEMPLATES:
+        words = licenses.words_of(t)
+        if len(words) < 20:
+            continue
+        for k in range(len(words)):
+            edited = [*words[:k], "changed", *words[k + 1 :]]
+            for offset in range(70, 74):
+                rows.append((len(rows), " ".join([*(f"w{i}" for i in range(offset)), *edited, *(f"v{i}" for i in range(70))])))
+                if held(licenses.shingles(words), edited) >= licenses.THRESHOLD:
+                    want.add((rows[-1][0], name))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(df).collect()}
+    assert len(want) > 400 and not want - got
