@@ -5,8 +5,8 @@ social security numbers, payment cards, access tokens, and persons (a title or a
 given name, then capitalised names).  What each match is follows from which single
 pattern it fits.
 
-Surrogates.  Every entity has a canonical form (an e-mail in lower case, the digits of a
-number, a person's names without title), and its surrogate is a function of a secret key,
+Surrogates.  Every entity has a canonical form (an e-mail or a hexadecimal token in lower
+case, the digits of a number, a person's names without title), and its surrogate is a function of a secret key,
 the type, that form and a try: digits become digits and letters letters of their case, a
 person gets a given name of the same gender and script and a made-up surname.  All
 punctuation stays, so the format does, and each way of writing an entity is rendered from
@@ -55,9 +55,10 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d|\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    # Before IBANs: 32 to 35 hex digits in upper case may look like one.
+    "token": r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32,64}|AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{30,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{30,})(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
     "person": rf"(?<![\p{{L}}\d])(?:(?:{_TITLE})\.?[ ]{_NAME}(?:[ ]{_NAME})?|(?:{_GIVEN})[ ]{_NAME})(?!\p{{L}})",
 }
@@ -81,7 +82,7 @@ def _is(script: str, col: Column) -> Column:
 def canonical(kind: Column, raw: Column) -> Column:
     names = F.regexp_replace(raw, rf"^(?:{_TITLE})\.?[ ]", "")
     return (
-        F.when(kind == "email", F.lower(raw))
+        F.when((kind == "email") | (kind == "token") & raw.rlike("^[0-9a-fA-F]+$"), F.lower(raw))
         .when(kind.isin("ssn", "card"), F.regexp_replace(raw, r"\D", ""))
         .when(kind == "phone", F.regexp_replace(raw, r"[^\d+]", ""))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
@@ -188,7 +189,7 @@ def render(kind: Column, raw: Column, new: Column) -> Column:
         F.when(kind.isin("phone", "ssn", "card"), step(r"\d"))
         .when(kind == "iban", step(r"[A-Z0-9]"))
         .when(kind == "person", F.concat(title, new))
-        .when((kind == "email") & (raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(new))
+        .when(((kind == "email") | (kind == "token") & raw.rlike("^[0-9A-F]+$")) & (raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(new))
         .otherwise(new)
     )
 

@@ -78,3 +78,17 @@ def test_edited_licenses_at_every_offset(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {(r.doc_id, r.license) for r in licenses.scan_licenses(df).collect()}
     assert len(want) > 400 and not want - got
+
+
+def test_tokens_in_upper_case(spark):
+    # The second looks like an IBAN too.
+    secrets = ["9233a8ec" * 5, "de893704" * 4, "9233A8ec" * 4, "AKIA" + "Z7" * 8]
+    texts = [f'TOKEN = "{s}"' for x in secrets for s in (x, x.upper())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "key").collect()}
+    new = [re.fullmatch(r'TOKEN = "(\w+)"', got[i].text)[1] for i in range(len(texts))]
+    assert all(got[i].n_entities == 1 and got[i].kinds == ["token"] for i in range(len(texts)))
+    assert not {x.lower() for x in new} & {x.lower() for x in secrets}
+    for k in range(0, 6, 2):
+        assert re.fullmatch("[0-9a-f]+", new[k]) and new[k + 1] == new[k].upper() and len(new[k]) == len(secrets[k // 2])
+    assert new[6] == new[7] and re.fullmatch("AKIA[A-Z][0-9A-Z]{15}", new[7])
