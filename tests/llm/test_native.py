@@ -92,3 +92,11 @@ def test_tokens_in_upper_case(spark):
     for k in range(0, 6, 2):
         assert re.fullmatch("[0-9a-f]+", new[k]) and new[k + 1] == new[k].upper() and len(new[k]) == len(secrets[k // 2])
     assert new[6] == new[7] and re.fullmatch("AKIA[A-Z][0-9A-Z]{15}", new[7])
+
+
+def test_adjacent_mails(spark):
+    texts = [f"Write to anna@mail.org{c}b.c@post.net{c}d@x.com now" for c in "-_%+"] + ["x anna@mail.org.b@post.net"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "key").collect()}
+    assert [got[i].n_entities for i in range(5)] == [3, 3, 3, 3, 2]
+    assert not any(old in r.text for r in got.values() for old in ("anna@", "b.c@", "d@x.", ".b@"))
