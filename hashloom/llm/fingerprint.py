@@ -4,15 +4,17 @@ A text's shingles are all runs of ``WIDTH`` code points (a shorter text is one s
 Each has a 48-bit hash; the fingerprint keeps every hash below a fixed fraction, 1/16, of
 the hash space, however many that are, so a long text keeps more than a short one, two
 fingerprints can be compared or merged whatever the lengths of their texts, and a part's
-containment in a whole is estimated without bias.  A text of at most ``SHORT`` shingles,
-for which a sixteenth tells nothing, keeps all; against a longer one only what lies below
-the fraction counts, as it must.
+containment in a whole is estimated without bias.  A text of at most ``SHORT`` distinct
+shingles, for which a sixteenth tells nothing, keeps all, and so does one that has none
+below the fraction; against a longer one only what lies below the fraction counts, as it
+must.
 
 A fingerprint is a string: the denominator of its fraction, a colon, and the sorted
 hashes in base64 (8 letters each).  Equal texts have equal fingerprints.
 
-Defined cases: the empty text and null have no shingles and an empty sketch; two empty
-sketches of equal strings are alike (1.0), an empty one is unlike any other (0.0).
+Defined cases: the empty text and null have no shingles and an empty sketch, as no other
+text has; two empty sketches of such texts are alike (1.0), an empty one is unlike any
+other (0.0).
 """
 
 from __future__ import annotations
@@ -51,9 +53,12 @@ def sketch(text: str) -> tuple[int, np.ndarray]:
     two = c[:-1] * _POWERS[1] + c[1:]
     four = two[:-2] * _POWERS[2] + two[2:]
     h = _mix(four[:-4] * _POWERS[4] + four[4:])
-    if len(h) <= SHORT:
-        return 1, np.unique(h)
-    return FRACTION, np.unique(h[h < np.uint64((1 << 48) // FRACTION)])
+    some = np.unique(h[h < np.uint64((1 << 48) // FRACTION)])
+    if len(some) <= SHORT:  # otherwise there are more than SHORT anyway
+        whole = np.unique(h)
+        if len(whole) <= SHORT or not len(some):
+            return 1, whole
+    return FRACTION, some
 
 
 def to_string(s: tuple[int, np.ndarray]) -> str:
@@ -78,7 +83,7 @@ def _level(a, b):
 
 def likeness(a, b) -> float:
     """Estimated Jaccard similarity of the shingle sets."""
-    if a is b or a[0] == b[0] and np.array_equal(a[1], b[1]):
+    if a[0] == b[0] and np.array_equal(a[1], b[1]) and (len(a[1]) or a[0] == 1):
         return 1.0
     _, x, y = _level(a, b)
     both = len(np.intersect1d(x, y, assume_unique=True))
