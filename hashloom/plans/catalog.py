@@ -447,6 +447,10 @@ def shared(spark: SparkSession, label: str) -> str:
 # -- the experiment catalog ---------------------------------------------------------------
 
 
+#: Repetitions of each family.
+REPS = 20
+
+
 def _accuracy_sql(name: str, reps: int, one) -> str:
     return " UNION ALL ".join(one(name, rep) for rep in range(1, reps + 1))
 
@@ -459,9 +463,9 @@ def _bk_rep(name: str, rep: int) -> str:
 rounded = lambda df: df.select("function", "rep", F.round("relerr", 8).alias("relerr"))
 
 
-@query("accuracy_bottomk_a2", " UNION ALL ".join(_accuracy_sql(n, 2, _bk_rep) for n in fam.U32))
+@query("accuracy_bottomk_a2", " UNION ALL ".join(_accuracy_sql(n, REPS, _bk_rep) for n in fam.U32))
 def accuracy_bottomk_a2(spark, sf_dir):
-    return rounded(experiments.bottom_k_accuracy(a2(spark, sf_dir), "key", ALL_U32, K, 2))
+    return rounded(experiments.bottom_k_accuracy(a2(spark, sf_dir), "key", ALL_U32, K, REPS))
 
 
 def _oph_rep(name: str, rep: int) -> str:
@@ -471,9 +475,9 @@ SELECT side, {sql.fast_range32('h', BINS)} AS bin, min(h) AS m FROM ({sql.u32(na
 (SELECT sum(a * b) / sum(greatest(a, b)) AS t FROM (SELECT key, max(side = 0)::INT AS a, max(side = 1)::INT AS b FROM ({SIDED_SQL}) GROUP BY key))"""
 
 
-@query("accuracy_oph_a2", " UNION ALL ".join(_accuracy_sql(n, 2, _oph_rep) for n in fam.U32))
+@query("accuracy_oph_a2", " UNION ALL ".join(_accuracy_sql(n, REPS, _oph_rep) for n in fam.U32))
 def accuracy_oph_a2(spark, sf_dir):
-    return rounded(experiments.oph_accuracy(sided(spark, sf_dir), "key", ALL_U32, BINS, 2))
+    return rounded(experiments.oph_accuracy(sided(spark, sf_dir), "key", ALL_U32, BINS, REPS))
 
 
 def _cm_rep(name: str, rep: int) -> str:
@@ -481,24 +485,24 @@ def _cm_rep(name: str, rep: int) -> str:
     return f"SELECT '{name}' AS function, {rep} AS rep, round(avg((est - freq) / freq::DOUBLE), 8) AS relerr FROM (SELECT key, any_value(freq) AS freq, min(cnt) AS est FROM (SELECT key, freq, sum(freq) OVER (PARTITION BY r, c) AS cnt FROM ({cells})) GROUP BY key)"
 
 
-@query("accuracy_countmin_a2", " UNION ALL ".join(_accuracy_sql(n, 1, _cm_rep) for n in fam.U32))
+@query("accuracy_countmin_a2", " UNION ALL ".join(_accuracy_sql(n, REPS, _cm_rep) for n in fam.U32))
 def accuracy_countmin_a2(spark, sf_dir):
-    return rounded(experiments.count_min_accuracy(a2(spark, sf_dir), "key", ALL_U32, WIDTH, DEPTH, 1))
+    return rounded(experiments.count_min_accuracy(a2(spark, sf_dir), "key", ALL_U32, WIDTH, DEPTH, REPS))
 
 
 @query("accuracy_countmin_r1")
 def accuracy_countmin_r1(spark, sf_dir):
-    return rounded(experiments.count_min_accuracy(r1(spark, sf_dir), "key", ALL_R1, WIDTH, DEPTH, 1, direct=False))
+    return rounded(experiments.count_min_accuracy(r1(spark, sf_dir), "key", ALL_R1, WIDTH, DEPTH, REPS, direct=False))
 
 
 @query("accuracy_bottomk_r2")
 def accuracy_bottomk_r2(spark, sf_dir):
-    return rounded(experiments.bottom_k_accuracy(r2(spark, sf_dir), "key", list(fam.byte_families().values()), K, 1))
+    return rounded(experiments.bottom_k_accuracy(r2(spark, sf_dir), "key", list(fam.byte_families().values()), K, REPS))
 
 
 @query("accuracy_bottomk_a1")
 def accuracy_bottomk_a1(spark, sf_dir):
-    return rounded(experiments.bottom_k_accuracy(datasets.a1(spark, A1_N), "key", ALL_U32, 24_500, 1))
+    return rounded(experiments.bottom_k_accuracy(datasets.a1(spark, A1_N), "key", ALL_U32, 24_500, REPS))
 
 
 # -- streaming (an extension) ----------------------------------------------------------------

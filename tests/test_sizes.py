@@ -20,3 +20,11 @@ def test_words_and_pool(spark):
     drawn = QUERIES["pool_stream"](spark, SF)
     assert drawn.count() == drawn.select("pos").distinct().count() == 500_000
     assert drawn.select("key").distinct().count() == orders.select("o_custkey").distinct().count()
+
+
+def test_repetitions(spark):
+    rows = QUERIES["accuracy_oph_a2"](spark, SF).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.function, {})[r.rep] = r.relerr
+    assert all(sorted(x) == list(range(1, 21)) and len(set(x.values())) > 1 for x in by.values())
