@@ -6,8 +6,14 @@ pair is mapped to all its positions, active ranks are applied in ascending order
 only the lists beside a merge are updated.  Added special tokens inside a text are taken
 whole, as the tokenizers library does by default.
 
-Defined cases: null and empty texts have no tokens and decode to the empty text; other
-columns pass through; equal texts have equal ids wherever they are.
+Memory: a batch is turned into Python strings a stretch of ``STRETCH`` bytes at a time, of
+which only the numbers of the pre-tokens stay; a text longer than that is a stretch of its
+own.  Pre-tokens seen before are kept, up to ``MEMO`` and those of one stretch.
+
+Defined cases: null and empty texts have no tokens and decode to the empty text; an empty
+table gives none; very long texts are encoded whole; null ids and repeated rows give a row
+each, and equal texts equal ids; other columns pass through, but columns named as results
+are replaced.
 """
 
 from __future__ import annotations
@@ -17,15 +23,18 @@ import json
 import re
 import sys
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from hashloom.llm.merging import Pairs, merge_one, merge_words
+from hashloom.llm.shared import stretches
 
-LONG, AT_ONCE, MEMO = 4096, 1 << 21, 150_000
+LONG, AT_ONCE, MEMO, STRETCH = 4096, 1 << 21, 150_000, 4 << 20
 #: The Unicode White_Space property.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -94,6 +103,14 @@ class ByteModel:
                 self.first[b[0]] = i
 
 
+class Numbers(dict):
+    """Words in the order in which they were first asked for, with their places."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Codec:
     """Encodes and decodes; one for each task."""
 
@@ -106,20 +123,23 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.lengths: list[np.ndarray] = []
-        for t, i in self.model.special.items():
-            self._add([f"\0special\0{t}"], np.array([i], np.int32), np.array([1]))
-
-    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.memo |= zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True)
-        self.flat.append(ids)
-        self.lengths.append(counts.astype(np.int64))
+        self.memo = Numbers()
+        self.flat = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int64)
+        self.done = 0  # words that have their tokens
+        self.special = {t: self.memo[f"\0special\0{t}"] for t in self.model.special}
+        for i in self.model.special.values():
+            self._add([(np.array([i], np.int32), np.array([1], np.int64))], 1)
+
+    def _add(self, parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> None:
+        self.flat = np.concatenate((self.flat, *(p[0] for p in parts)))
+        self.lengths = np.concatenate((self.lengths, *(p[1].astype(np.int64) for p in parts)))
+        self.done += n
 
     def _merge(self, words: list[str]) -> None:
+        """Tokens of new words, appended in their order."""
         data = [w.encode("utf-8", "surrogatepass") for w in words]
-        begin = 0
+        begin, parts = 0, []
         while begin < len(words):
             end, held = begin, 0
             while end < len(words) and (end == begin or held + len(data[end]) <= AT_ONCE):
@@ -130,43 +150,42 @@ class Codec:
             if end > begin:
                 lengths = np.fromiter(map(len, data[begin:end]), np.int64, end - begin)
                 symbols = self.first[np.frombuffer(b"".join(data[begin:end]), np.uint8)]
-                self._add(words[begin:end], *merge_words(symbols, lengths, self.pairs))
+                parts.append(merge_words(symbols, lengths, self.pairs))
                 begin = end
             if begin < len(words) and len(data[begin]) > LONG:
                 if self.table is None:
                     left, right, rank, new = self.model.parts
                     self.table = dict(zip(zip(left, right, strict=True), zip(rank, new, strict=True), strict=True))
                 ids = merge_one(self.first[np.frombuffer(data[begin], np.uint8)].tolist(), self.table)
-                self._add(words[begin : begin + 1], np.array(ids, np.int32), np.array([len(ids)]))
+                parts.append((np.array(ids, np.int32), np.array([len(ids)])))
                 begin += 1
+        if parts:
+            self._add(parts, len(words))
 
-    def pretokens(self, text: str) -> list[str]:
-        find = self.find
+    def places(self, text: str) -> np.ndarray:
+        """The numbers of the text's pre-tokens; a new one gets the next number."""
+        find, number = self.find, self.memo.__getitem__
         if self.split is None or not any(t in text for t in self.model.special):
-            return find(text)
+            return np.fromiter(map(number, find(text)), np.int32)
         out = []
         for part in self.split.split(text):
-            if part in self.model.special:
-                out.append(f"\0special\0{part}")
+            if part in self.special:
+                out.append(self.special[part])
             elif part:
-                out += find(part)
-        return out
+                out += map(number, find(part))
+        return np.array(out, np.int32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; all texts are cut before the first is given out."""
         if len(self.memo) > MEMO:
             self.forget()
-        cut = [self.pretokens(t) for t in texts]
-        self._merge(list({w for ws in cut for w in ws}.difference(self.memo)))
-        flat, lengths = np.concatenate(self.flat), np.concatenate(self.lengths)
-        self.flat, self.lengths = [flat], [lengths]
-        begins = np.cumsum(lengths) - lengths
-        out = []
-        for ws in cut:
-            at = np.fromiter(map(self.memo.__getitem__, ws), np.int64, len(ws))
-            n = lengths[at]
+        cut = [self.places(t) for t in texts]
+        self._merge(list(islice(self.memo, self.done, None)))
+        begins = np.cumsum(self.lengths) - self.lengths
+        for at in cut:
+            n = self.lengths[at]
             ends = np.cumsum(n)
-            out.append(flat[np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1] if len(ws) else 0)])
-        return out
+            yield self.flat[np.repeat(begins[at] - (ends - n), n) + np.arange(ends[-1] if len(at) else 0)]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -178,28 +197,21 @@ def _run(model: ByteModel, text_col: str, with_ids: bool):
 
         codec = Codec(model)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            n, ids_sha, text_sha, all_ids = [], [], [], []
-            at = 0
-            while at < len(texts):  # some MB of text at a time
-                held, upto = 0, at
-                while upto < len(texts) and (upto == at or held < (4 << 20)):
-                    held += len(texts[upto] or "")
-                    upto += 1
-                for ids in codec.encode([t or "" for t in texts[at:upto]]):
+            for part in stretches(batch, text_col, STRETCH):
+                n, ids_sha, text_sha, all_ids = [], [], [], []
+                for ids in codec.encode(t.as_py() or "" for t in part.column(text_col)):
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     text_sha.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
                     if with_ids:
                         all_ids.append(ids)
-                at = upto
-            names = [c for c in batch.schema.names if c != text_col]
-            cols = [batch.column(c) for c in names] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names += ["n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                names = [c for c in batch.schema.names if c != text_col]
+                cols = [part.column(c) for c in names] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names += ["n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 

@@ -12,32 +12,35 @@ m-byte frame; where it is 0, the bucket of the frame's suffix hash names the pat
 try, and bytes are compared.  Many frames advance at once: each lane scans its own stretch
 of the text, and stretches overlap by the frame, so numpy does the work of the loop.
 
-Patterns are sent to executors in blocks of at most ``block_bytes``; a benchmark beyond
-that takes several passes over the documents, whose hits are then merged per document.
+Patterns are sent to executors in blocks of at most ``block_bytes``.  A benchmark beyond
+that takes a pass over the documents for each block, one block being in memory at a time;
+hits are written and joined to the rows of the documents, which keep all their columns.
 
-Defined cases: null and empty texts have no words; equal windows of several items count
-for each of them; repeated rows give a row each (rows are grouped by id and text hash
-where there are several blocks); columns named as results are replaced; null item ids are left out of the items counted but
-their windows still hit.
+Defined cases: null and empty texts have no words; an empty table gives none, and an empty
+benchmark no hits; very long texts are searched whole; equal windows of several items
+count for each of them; null ids and repeated rows give a row each; other columns pass
+through, but columns named as results are replaced; null item ids are left out of the items
+counted but their windows still hit.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hashloom.llm.shared import utf8
+from hashloom.llm.shared import plus, stretches, utf8, written
 
 #: Bytes that part words become spaces; A-Z become a-z.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Length classes: a class holds patterns of at least this many bytes and fewer than the next.
 CLASSES = (2, 8, 24, 64)
 LANES = 4096
+HITS = ("starts", "ends", "items")
 
 
 def plain(text: bytes) -> bytes:
@@ -162,31 +165,30 @@ class Matcher:
         return out
 
 
-def _scan(items: list[tuple[object, bytes]], words: int, batch_bytes: int):
+def _bytes(text) -> bytes:
+    """UTF-8 of an Arrow string; null is empty."""
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
+def _scan(items: list[tuple[object, bytes]], words: int, text_col: str, keep_text: bool, hits_only: bool, batch_bytes: int):
     def run(batches):
         import pyarrow as pa
 
         matcher = Matcher(items, words)
         arrow = {"long": pa.int64(), "list": pa.list_(pa.int64()), "items": pa.list_(pa.string())}
         for batch in batches:
-            sizes = batch.column("__text").to_pylist()
-            at = 0
-            while at < len(sizes):
-                upto, held = at, 0
-                while upto < len(sizes) and (upto == at or held < batch_bytes):
-                    held += len(sizes[upto] or b"")
-                    upto += 1
-                hits = matcher.hits([plain(t or b"") for t in sizes[at:upto]])
-                cols = [batch.column(c).slice(at, upto - at) for c in batch.schema.names if c != "__text"]
-                names = [c for c in batch.schema.names if c != "__text"]
+            for part in stretches(batch, text_col, batch_bytes):
+                hits = matcher.hits([plain(_bytes(t)) for t in part.column(text_col)])
+                names = [c for c in batch.schema.names if keep_text or c != text_col]
+                cols = [part.column(c) for c in names]
                 cols += [
                     pa.array([h[0] for h in hits], arrow["long"]),
                     pa.array([[r[0] for r in h[1]] for h in hits], arrow["list"]),
                     pa.array([[r[1] for r in h[1]] for h in hits], arrow["list"]),
                     pa.array([sorted(str(i) for i in h[2] if i is not None) for h in hits], arrow["items"]),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "starts", "ends", "items"])
-                at = upto
+                out = pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "starts", "ends", "items"])
+                yield out.filter(pa.array([bool(h[1]) for h in hits], pa.bool_())) if hits_only else out
 
     return run
 
@@ -211,36 +213,38 @@ def contamination(
     words: int = 13,
     share: tuple[int, int] = (1, 20),
     block_bytes: int = 8 << 20,
-    batch_bytes: int = 4 << 20,
+    batch_bytes: int = 2 << 20,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """``docs`` without the text, plus n_words, n_hit, items (sorted strings), n_items and
-    contaminated: at least ``share`` of the words lie inside windows of the benchmark."""
+    """``docs`` (without the text unless it is to be kept) plus n_words, n_hit, items (sorted
+    strings), n_items and contaminated: at least ``share`` of the words lie inside windows
+    of the benchmark."""
     docs = docs.drop("n_words", "n_hit", "items", "n_items", "contaminated", "starts", "ends")
-    keep = [c for c in docs.columns if c != text_col]
+    keep = [c for c in docs.columns if keep_text or c != text_col]
     bench = benchmark.select(F.col(item_col).alias("__item"), utf8(item_text_col).alias("__text")).filter("__text is not null")
     # A window repeats its words up to `words` times, so that a block is bounded by its windows.
     total = (bench.agg(F.sum(F.octet_length("__text"))).first()[0] or 0) * words
     n_blocks = max(1, -(-total // block_bytes))
-    several = n_blocks > 1
-    base = docs.select(*[F.col(c) for c in keep], utf8(text_col).alias("__text"))
-    if several:
-        base = base.withColumn("__row", F.xxhash64("__text"))
-    schema = base.drop("__text").schema.add("n_words", "long")
-    for name, kind in (("starts", T.LongType()), ("ends", T.LongType()), ("items", T.StringType())):
-        schema = schema.add(name, T.ArrayType(kind))
-    found = None
-    for k in range(n_blocks):
-        part = bench.filter(F.pmod(F.xxhash64("__item", "__text"), F.lit(n_blocks)) == k)
-        items = [(r["__item"], bytes(r["__text"])) for r in part.toLocalIterator()]
-        hits = base.mapInArrow(_scan(items, words, batch_bytes), schema)
-        found = hits if found is None else found.unionAll(hits)
-    if several:
-        first = lambda c: F.first(c).alias(c)
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        others = [c for c in keep if c != id_col]
-        found = found.groupBy(id_col, "__row").agg(*map(first, [*others, "n_words"]), *map(flat, ["starts", "ends", "items"]), F.count(F.lit(1)).alias("__n"))
-        copies = F.explode(F.array_repeat(F.lit(0), (F.col("__n") / n_blocks).cast("int")))  # repeated rows
-        found = found.withColumn("__copy", copies).drop("__copy", "__n")
+    blocks = (bench.filter(F.pmod(F.xxhash64("__item", "__text"), F.lit(n_blocks)) == k) for k in range(n_blocks))
+    loaded = ([(r["__item"], bytes(r["__text"])) for r in b.toLocalIterator()] for b in blocks)
+
+    def scan(rows: DataFrame, items: list, keep_text: bool, hits_only: bool = False) -> DataFrame:
+        schema = plus(rows if keep_text else rows.drop(text_col), "n_words long, starts array<long>, ends array<long>, items array<string>")
+        return rows.mapInArrow(_scan(items, words, text_col, keep_text, hits_only, batch_bytes), schema)
+
+    if n_blocks == 1:
+        found = scan(docs, next(loaded), keep_text)
+    else:
+        # One block at a time is in memory; only documents with hits are written, and joined
+        # to the rows they belong to.
+        row = {"__id": F.col(id_col), "__row": F.xxhash64(text_col)}
+        texts = docs.select(*[c.alias(k) for k, c in row.items()], text_col)
+        hits = reduce(DataFrame.unionAll, [written(scan(texts, items, False, True).drop("n_words"), "hits") for items in loaded])
+        hits = hits.groupBy("__id", "__row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in HITS]).withColumnsRenamed({"__id": "__id2", "__row": "__row2"})
+        counted = scan(docs.withColumns(row), [], keep_text).drop(*HITS)
+        same = counted["__id"].eqNullSafe(hits["__id2"]) & (counted["__row"] == hits["__row2"])
+        none = {"starts": "array<bigint>", "ends": "array<bigint>", "items": "array<string>"}
+        found = counted.join(hits, same, "left").withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in none.items()})
     ranges = F.zip_with("starts", "ends", lambda s, e: F.struct(s.alias("start"), e.alias("end")))
     found = found.withColumns({"__r": ranges, "items": F.array_sort(F.array_distinct("items"))}).withColumn("n_hit", _merge_ranges("__r"))
     return found.select(

@@ -14,11 +14,14 @@ chunks of a batch advance together and the result is that of the plain recursion
 has the language of the greatest mean marginal, and that mean is its score.
 
 The model is fitted on a bounded sample: of each language the ``per_lang`` rows of
-smallest hash of the id.  Its size doesn't depend on the input.
+smallest hash of the id.  Its size doesn't depend on the input.  One scan counts the rows
+of each language, one takes the sample.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so is every
-text if nothing is labelled; among equal marginals the first language in order of name
-wins; repeated rows get equal results; other columns pass through.
+text if nothing is labelled; an empty table gives none; among equal marginals the first
+language in order of name wins; null ids and repeated rows give a row each, equal texts
+equal results; a very long text is labelled whole, in chunks; other columns pass through,
+but columns named as results are replaced.
 """
 
 from __future__ import annotations
@@ -26,15 +29,15 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hashloom.llm.shared import plus, stretches, word_hashes
+
 BITS, GRAMS, CHUNK = 16, (2, 3, 4, 5), 32
 UND = "und"
 #: ASCII letters and all bytes beyond ASCII are word bytes.
 _WORD = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_P = 0x9E3779B97F4A7C15
-_INV = pow(_P, -1, 1 << 64)
 
 
 def word_bytes(text: str) -> list[bytes]:
@@ -45,11 +48,6 @@ def has_letter(col: Column) -> Column:
     return F.coalesce(col.rlike(r"\p{L}"), F.lit(False))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 def features(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashed n-grams of every position (0 where it would run past the word), the position
     at which each word begins, and the hash of each word."""
@@ -67,12 +65,7 @@ def features(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
             h = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * k)
             h = (h >> np.uint32(32 - BITS)) | np.uint32(1)
             grams.append(np.where(room >= k - 1, h, np.uint32(0)))
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(n + 1, _P, np.uint64))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((byte[: n + 1].astype(np.uint64) + np.uint64(1)) * powers)))
-        back = np.cumprod(np.full(n + 1, _INV, np.uint64))
-        hashes = _mix((sums[ends] - sums[begins + 1]) * back[begins])
-    return grams, begins, hashes
+    return grams, begins, word_hashes(buf, begins + 1, ends)
 
 
 class Crf:
@@ -248,55 +241,46 @@ def _pairs(crf: Crf, scores: np.ndarray, marginals: np.ndarray, t: np.ndarray) -
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200) -> Crf | None:
     """Fits on at most ``per_lang`` rows of each language, those of smallest id hash."""
     place = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 33).alias("__place")
-    rows = labelled.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(id_col, text_col, lang_col, place)
-    some = None
-    for lang, n in sorted(tuple(r) for r in rows.groupBy(lang_col).count().collect()):
-        # What is sorted stays small however many rows there are: three times what is needed.
-        upto = int(min(1.0, 3 * per_lang / n) * 2**31)
-        part = rows.filter((F.col(lang_col) == lang) & (F.col("__place") < upto)).orderBy("__place", F.col(text_col)).limit(per_lang)
-        some = part if some is None else some.unionAll(part)
-    return train([(r[1], r[2]) for r in some.collect()]) if some is not None else None
+    rows = labelled.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), place)
+    counts = sorted(tuple(r) for r in rows.groupBy("__lang").count().collect())
+    if not counts:
+        return None
+    # What is sorted stays small however many rows there are: three times what is needed.
+    bounds = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, int(min(1.0, 3 * per_lang / n) * 2**31))])
+    order = Window.partitionBy("__lang").orderBy("__place", "__text")
+    some = rows.filter(F.col("__place") < bounds[F.col("__lang")]).withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= per_lang)
+    return train(sorted(((r["__text"], r["__lang"]) for r in some.collect()), key=lambda r: (r[1], r[0])))
 
 
-def _run(crf: Crf | None, text_col: str, batch_chars: int):
+def _run(crf: Crf | None, text_col: str, keep_text: bool, batch_bytes: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            able = batch.column("__letter").to_pylist()
-            got = [(UND, 0.0, 0)] * len(texts)
-            at = 0
-            while crf is not None and at < len(texts):
-                held, upto, some = 0, at, []
-                while upto < len(texts) and (upto == at or held < batch_chars):
-                    if able[upto] and (w := word_bytes(texts[upto])):
-                        some.append((upto, w))
-                        held += len(texts[upto])
-                    upto += 1
+            for part in stretches(batch, text_col, batch_bytes):
+                texts = zip(part.column(text_col), part.column("__letter"), strict=True)
+                got, some = [(UND, 0.0, 0)] * part.num_rows, []
+                if crf is not None:
+                    some = [(i, w) for i, (t, able) in enumerate(texts) if able.as_py() and (w := word_bytes(t.as_py()))]
                 if some:
                     for (i, _), r in zip(some, crf.label([w for _, w in some]), strict=True):
                         got[i] = r[:3]
-                at = upto
-            names = [c for c in batch.schema.names if c not in (text_col, "__letter")]
-            cols = [batch.column(c) for c in names]
-            for k, kind in enumerate((pa.string(), pa.float64(), pa.int64())):
-                cols.append(pa.array([g[k] for g in got], kind))
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score", "n_switches"])
+                names = [c for c in batch.schema.names if c != "__letter" and (keep_text or c != text_col)]
+                cols = [part.column(c) for c in names]
+                for k, kind in enumerate((pa.string(), pa.float64(), pa.int64())):
+                    cols.append(pa.array([g[k] for g in got], kind))
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score", "n_switches"])
 
     return run
 
 
-def identify(docs: DataFrame, crf: Crf | None, text_col: str = "text", keep_text: bool = False, batch_chars: int = 1 << 20) -> DataFrame:
+def identify(docs: DataFrame, crf: Crf | None, text_col: str = "text", keep_text: bool = False, batch_bytes: int = 1 << 19) -> DataFrame:
     """``docs`` (without the text unless it is to be kept) plus lang_pred, score and
     n_switches, the number of words whose language is not that of the word before."""
     docs = docs.drop("lang_pred", "score", "n_switches")
-    given = docs.withColumn("__letter", has_letter(F.col(text_col)))
-    if keep_text:
-        given = given.withColumn("__text", F.col(text_col))
-    name = "__text" if keep_text else text_col
-    schema = given.drop(name, "__letter").schema.add("lang_pred", "string").add("score", "double").add("n_switches", "long")
-    return given.mapInArrow(_run(crf, name, batch_chars), schema)
+    out = docs if keep_text else docs.drop(text_col)
+    schema = plus(out, "lang_pred string, score double, n_switches long")
+    return docs.withColumn("__letter", has_letter(F.col(text_col))).mapInArrow(_run(crf, text_col, keep_text, batch_bytes), schema)
 
 
 def label_words(text: str, crf: Crf) -> list[tuple[str, str, float]]:

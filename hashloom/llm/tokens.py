@@ -6,9 +6,10 @@ follows it, which no piece of the vocabulary may span; that is checked as well),
 proven pre-token as one token without merging it, and merge only the distinct rest, all
 of a batch at once.
 
-Defined cases: null and empty texts have no bytes and no tokens; other columns pass
-through; the counts of a batch depend on nothing outside it, so any order of rows and any
-repetition gives the same.
+Defined cases: null and empty texts have no bytes and no tokens; an empty table gives
+none; very long texts are counted whole; null ids and repeated rows give a row each; other
+columns pass through, but columns named as results are replaced.  A text's count depends on
+nothing else, so any order of rows and any repetition gives the same.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.merging import NONE, Pairs, merge_one, merge_words
+from hashloom.llm.shared import stretches
 
 MARK = "▁"  # stands for a space
 #: Words longer than this go through the heap; others through the index, so many symbols at once.
-LONG, AT_ONCE, MEMO = 4096, 1 << 21, 200_000
+LONG, AT_ONCE, MEMO, STRETCH = 4096, 1 << 21, 200_000, 2 << 20
 _PRETOKEN = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -38,6 +40,11 @@ class PieceModel:
         pieces = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece spans the beginning of a word; words can't be counted alone")
+        # Letters with several code points, wide forms, signs that fold, runs of spaces, tabs:
+        # a model that changes any of them doesn't normalize by identity.
+        probe = "ﬁ Å A\u030a ① Ａ  \t x\u200b…　½ "
+        if sp.normalize(probe) != MARK + probe.replace(" ", MARK):
+            raise ValueError("the model normalizes texts; words can't be cut before that")
         score = {p: sp.get_score(i) for p, i in pieces.items()}
         ranks = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
         left, right, rank, new = [], [], [], []
@@ -64,12 +71,10 @@ class Merger:
         self.table = None
         self.model = model
         # Code point -> symbol; -1-k for an unknown character of k UTF-8 bytes.
-        top = max(map(ord, model.chars)) + 1
         codes = np.arange(0x110000, dtype=np.int64)
         self.symbol = np.select([codes < 0x80, codes < 0x800, codes < 0x10000], [-2, -3, -4], -5).astype(np.int32)
         for c, i in model.chars.items():
             self.symbol[ord(c)] = i
-        del top
 
     def _long(self, word: str) -> int:
         if self.table is None:
@@ -107,35 +112,44 @@ def pretokens(text: str) -> list[str]:
     return _PRETOKEN.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+class Counts(dict):
+    """Tokens of the words counted so far.  A word that isn't there yet is put in ``fresh``
+    and stands as 0; its occurrences in a text are told apart by the caller."""
+
+    def __init__(self, whole: frozenset[str]):
+        super().__init__(dict.fromkeys(whole, 1))
+        self.fresh: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        return -1 - self.fresh.setdefault(word, len(self.fresh))
+
+
 def _run(model: PieceModel, text_col: str):
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        merger, memo = Merger(model), {}
-        known = dict.fromkeys(model.whole, 1)
+        merger, known = Merger(model), Counts(model.whole)
         for batch in batches:
-            counts: list[int] = []
-            sizes: list[int] = []
-            texts = batch.column(text_col).to_pylist()
-            at = 0
-            while at < len(texts):  # some MB of text at a time
-                held, upto = 0, at
-                while upto < len(texts) and (upto == at or held < (2 << 20)):
-                    held += len(texts[upto] or "")
-                    upto += 1
-                cut = [pretokens(t or "") for t in texts[at:upto]]
-                if len(memo) > MEMO:
-                    memo, known = {}, dict.fromkeys(model.whole, 1)
-                rest = list({w for ws in cut for w in ws}.difference(known))
-                fresh = dict(zip(rest, merger.counts(rest), strict=True))
-                memo |= fresh
-                known |= fresh
-                counts += [sum(map(known.__getitem__, ws)) for ws in cut]
-                at = upto
-            sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
-            names = [c for c in batch.schema.names if c != text_col]
-            cols = [batch.column(c) for c in names] + [pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_bytes", "n_tokens"])
+            for part in stretches(batch, text_col, STRETCH):
+                if len(known) > MEMO + len(model.whole):
+                    known = Counts(model.whole)
+                get, cut, counts = known.__getitem__, [], []
+                for t in part.column(text_col):
+                    # Counts of the words proven whole or met before; of others -1 - their number.
+                    n = np.fromiter(map(get, pretokens(t.as_py() or "")), np.int32)
+                    new = n < 0
+                    counts.append(int(n[~new].sum(dtype=np.int64)))
+                    cut.append(-1 - n[new])
+                fresh = list(known.fresh)
+                got = merger.counts(fresh)
+                known.update(zip(fresh, got, strict=True))
+                known.fresh = {}
+                of = np.array(got, np.int64)
+                counts = [c + int(of[at].sum()) if len(at) else c for c, at in zip(counts, cut, strict=True)]
+                sizes = pc.fill_null(pc.binary_length(part.column(text_col)), 0).cast(pa.int64())
+                names = [c for c in batch.schema.names if c != text_col]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sizes, pa.array(counts, pa.int64())], names=[*names, "n_bytes", "n_tokens"])
 
     return run
 
