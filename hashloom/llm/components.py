@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.shared import written
+from hashloom.llm.shared import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = label.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "m").alias("now"))
         jump = lower.select(F.col("node").alias("now"), F.col("now").alias("after"))
         new = written(lower.join(jump, "now").select("node", "before", F.least("now", "after").alias("component")), "labels")
+        forget(label)
         label = new.select("node", "component")
         if not new.filter("before <> component").limit(1).count():
+            forget(edges)
             return label

@@ -22,10 +22,19 @@ width, flipped by each member.  A differing bit needs a shingle that one set has
 the count of differing bits bounds the overlap from above.  Only documents of a pair that
 the bound lets pass have their sorted arrays shipped, for the exact intersection.
 
+Words are told apart by 64-bit hashes, and shingles by chained mixes of those; a collision
+of two among n distinct shingles has a chance of about n^2 / 2^65, in the sense that no
+text is built for it.
+
+Passes over the texts: one for frequencies, one for everything about a set that isn't the
+set itself, and one for the sets of the documents in candidates, at each of up to four
+times that candidates are settled.
+
 Defined cases: null and empty texts, and texts without words, have empty sets, link with
 nothing and are their own components; a text of fewer words than a shingle is one shingle;
-rows that repeat an id are one document if their texts have equal sets (each row gets its
-result); rows of null id have a null component and link nothing.
+an empty table gives none; very long texts are taken whole; rows that repeat an id are one
+document if their texts have equal sets (each row gets its result); rows of null id have a
+null component and link nothing; other columns than id and text are left out.
 """
 
 from __future__ import annotations
@@ -39,59 +48,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.components import components
-from hashloom.llm.shared import forget, utf8, written
+from hashloom.llm.shared import chained, forget, spread_join, stretches, utf8, word_hashes, written
 
-_P = 0x9E3779B97F4A7C15
-_INV = pow(_P, -1, 1 << 64)
 FREQUENT = 48  # documents from which a shingle goes to the end of the order
-FREQUENT_MAX = 1 << 17  # at most so many of them, the most frequent ones
-FILTER_BITS = 23
+FREQUENT_MAX = 1 << 19  # at most so many of them, the most frequent ones
+FILTER_BITS = range(16, 27)  # bits of the place of an id in a filter, by the number of ids
+STRETCH = 1 << 20
 CHUNK = 1024
 SMALL = 16
 ROUNDS, LEADERS = 2, 6
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    cut = [t.lower().split() if t else [] for t in texts]  # ASCII only, on bytes
-    counts = np.array([len(w) for w in cut], np.int64)
+    cut = [t.lower().split() for t in texts]  # ASCII only, on bytes
+    counts = [len(w) for w in cut]
     buf = b" ".join([b" ".join(w) for w in cut if w]) + b" "
-    raw = np.frombuffer(buf, np.uint8)
-    ends = np.flatnonzero(raw == 32)  # the space after each word
-    begins = np.r_[0, ends[:-1] + 1]
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(raw), _P, np.uint64))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers)))
-        back = np.cumprod(np.full(len(raw), _INV, np.uint64))
+    del cut
+    ends = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32) if sum(counts) else np.zeros(0, np.int64)
+    hashes = word_hashes(buf, np.r_[0, ends[:-1] + 1] if len(ends) else ends, ends)
     out, at = [], 0
-    for n in counts.tolist():
-        if not n:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        k = min(words, n)
-        b, e = begins[at : at + n - k + 1], ends[at + k - 1 : at + n]
-        out.append(np.unique(_mix((sums[e] - sums[b]) * back[b])))
+    for n in counts:
+        out.append(np.unique(chained(hashes[at : at + n], min(words, n))) if n else np.zeros(0, np.uint64))
         at += n
     return out
 
 
-def _texts(batch, held_bytes: int = 2 << 20):
-    """(ids, sets' texts) of a batch in stretches of bounded size."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    at = 0
-    while at < len(texts):
-        held, upto = 0, at
-        while upto < len(texts) and (upto == at or held < held_bytes):
-            held += len(texts[upto] or b"")
-            upto += 1
-        yield ids[at:upto], texts[at:upto]
-        at = upto
+def _sets_of(batch, words: int):
+    """(ids, sets) of a batch of (doc_id, text) in stretches of bounded size."""
+    for part in stretches(batch, "text", STRETCH):
+        texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("text")]
+        yield part.column("doc_id").to_pylist(), shingle_sets(texts, words)
 
 
 def _repeated(words: int, at_once: int = 1 << 21):
@@ -108,10 +95,9 @@ def _repeated(words: int, at_once: int = 1 << 21):
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["h", "n"])
 
         for batch in batches:
-            for _, texts in _texts(batch):
-                for s in shingle_sets(texts, words):
-                    held.append(s)
-                    n += len(s)
+            for _, sets in _sets_of(batch, words):
+                held += sets
+                n += sum(map(len, sets))
                 if n >= at_once:
                     yield counted()
                     held, n = [], 0
@@ -122,7 +108,8 @@ def _repeated(words: int, at_once: int = 1 << 21):
 
 
 def frequent_shingles(rows: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of the most frequent shingles, at most FREQUENT_MAX."""
+    """Sorted hashes of the most frequent shingles, at most FREQUENT_MAX (4 MB): whole
+    classes of frequency, from the top."""
     counts = written(rows.mapInArrow(_repeated(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "frequent")
     by_size = counts.groupBy(F.floor(F.log2("n")).alias("size")).count().orderBy(F.desc("size")).collect()
     total, least = 0, None
@@ -137,56 +124,36 @@ def frequent_shingles(rows: DataFrame, words: int) -> np.ndarray:
     return np.sort(found)
 
 
-def _described(words: int):
-    """Each document's set size and set hash."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ids, sizes, keys = [], [], []
-            for some, texts in _texts(batch):
-                ids += some
-                for s in shingle_sets(texts, words):
-                    sizes.append(len(s))
-                    keys.append(_key(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n", "key"])
-
-    return run
-
-
 def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _prefixes(words: int, share: tuple[int, int], frequent: np.ndarray):
-    """Key, size, prefix and signature of every set that isn't empty."""
+def _described(words: int, share: tuple[int, int], frequent):
+    """Every row's set size, and of sets that aren't empty key, prefix and signature."""
 
     def run(batches):
         import pyarrow as pa
 
+        often = frequent.value
         for batch in batches:
-            ids, sizes, keys, prefixes, sigs = [], [], [], [], []
-            for some, texts in _texts(batch):
-                for i, s in zip(some, shingle_sets(texts, words), strict=True):
+            for ids, sets in _sets_of(batch, words):
+                sizes, keys, prefixes, sigs = [], [], [], []
+                for s in sets:
                     n = len(s)
-                    if not n or i is None:
-                        continue
-                    ids.append(i)
                     sizes.append(n)
-                    keys.append(_key(s))
-                    sigs.append(signature(s, width_of(n)).tobytes())
+                    keys.append(_key(s) if n else None)
+                    sigs.append(signature(s, width_of(n)).tobytes() if n else None)
                     k = n - -(-share[0] * n // share[1]) + 1
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                        often = frequent[at] == s
-                        first = s[~often][:k]
-                        s = np.concatenate((first, s[often][: k - len(first)])) if len(first) < k else first
-                    prefixes.append(s[:k].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n", "key", "prefix", "sig"],
-            )
+                    if n and len(often):
+                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                        is_often = often[at] == s
+                        first = s[~is_often][:k]
+                        s = np.concatenate((first, s[is_often][: k - len(first)])) if len(first) < k else first
+                    prefixes.append(s[:k].view(np.int64) if n else None)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "n", "key", "prefix", "sig"],
+                )
 
     return run
 
@@ -262,36 +229,35 @@ def fold(sig: np.ndarray, width: int) -> np.ndarray:
     return sig
 
 
-def _sets(words: int, wanted: np.ndarray):
+def _sets(words: int, wanted, bits: int):
     """(rep, set) of the documents whose id passes the filter."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            h = batch.column(2).to_numpy().view(np.uint64)
-            hit = (wanted[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
-            some = batch.filter(pa.array(hit == 1))
-            for ids, texts in _texts(some):
-                sets = [s.tobytes() for s in shingle_sets(texts, words)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "set"])
+            h = batch.column("place").to_numpy().view(np.uint64) >> np.uint64(FILTER_BITS[-1] - bits)
+            hit = (wanted.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
+            for ids, sets in _sets_of(batch.filter(pa.array(hit == 1)), words):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set"])
 
     return run
 
 
 def _place(col: str):
-    return F.shiftrightunsigned(F.xxhash64(col), 64 - FILTER_BITS)
+    return F.shiftrightunsigned(F.xxhash64(col), 64 - FILTER_BITS[-1])
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that holds every id of the frame; what else it holds only
-    costs time.  Combined on the executors; at most 2^17 words come to the driver."""
-    at = ids.select(_place("rep").alias("p"))
+def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap that holds every id of the frame, some sixteen bits for each but 8 MB at
+    most; what else it holds only costs time.  Combined on the executors."""
+    bits = min(FILTER_BITS[-1], max(FILTER_BITS[0], ids.count().bit_length() + 4))
+    at = ids.select(F.shiftright(_place("rep"), FILTER_BITS[-1] - bits).alias("p"))
     bit = F.expr("shiftleft(1L, cast(p % 64 as int))")
     words = at.select(F.shiftright("p", 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    return out
+    return out, bits
 
 
 def linked(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
@@ -409,14 +375,18 @@ def _sides(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> Data
 def _settle(pairs: DataFrame, sigs: DataFrame, placed: DataFrame, words: int, share: tuple[int, int]) -> DataFrame | None:
     """The pairs (a, b) that link; None if there are none."""
     may = written(_sides(pairs, sigs, ("n", "sig")).mapInArrow(_bounded(share), "a long, b long"), "may")
-    if not may.limit(1).count():
-        return None
-    ids = may.select(F.col("a").alias("rep")).unionAll(may.select("b")).distinct()
-    sets = written(placed.mapInArrow(_sets(words, _filter_of(ids)), "rep long, set binary"), "sets")
-    links = written(_sides(may, sets, ("set",)).mapInArrow(_verify(share), "a long, b long"), "links")
-    forget(sets)
+    links = None
+    if may.limit(1).count():
+        ids = written(may.select(F.col("a").alias("rep")).unionAll(may.select("b")).distinct(), "ids")
+        wanted, bits = _filter_of(ids)
+        shared = placed.sparkSession.sparkContext.broadcast(wanted)
+        sets = written(placed.mapInArrow(_sets(words, shared, bits), "rep long, set binary"), "sets")
+        links = written(_sides(may, sets, ("set",)).mapInArrow(_verify(share), "a long, b long"), "links")
+        for t in (sets, ids):
+            forget(t)
+        shared.unpersist()
     forget(may)
-    return links if links.limit(1).count() else None
+    return links if links is not None and links.limit(1).count() else None
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -424,13 +394,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     class_id (the smallest id of equal set)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     placed = rows.filter("doc_id is not null").withColumn("place", _place("doc_id"))
-    frequent = frequent_shingles(rows, words)
-    told = written(rows.mapInArrow(_described(words), "doc_id long, n long, key binary"), "described")
-    classes = told.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, words))
+    told = written(rows.mapInArrow(_described(words, share, frequent), "doc_id long, n long, key binary, prefix array<long>, sig binary"), "described")
+    some = told.filter("key is not null and doc_id is not null")
     # Equal sets have equal prefixes and signatures, so any will do.
-    each = rows.mapInArrow(_prefixes(words, share, frequent), "doc_id long, n long, key binary, prefix array<long>, sig binary")
     any_of = [F.first(c).alias(c) for c in ("n", "prefix", "sig")]
-    stand = written(each.groupBy("key").agg(F.min("doc_id").alias("rep"), *any_of).drop("key"), "sets")
+    stand = written(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *any_of), "sets")
     sigs = stand.select("rep", "n", "sig")
     by_shingle = stand.select(F.explode("prefix").alias("h"), "rep", "n").repartition("h").sortWithinPartitions("h")
     dealt = written(by_shingle.mapInArrow(_tiles(share), "a long, b long, h long, n long"), "tiles")
@@ -439,12 +408,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     large = dealt.filter("h is not null").select("h", F.col("b").alias("rep"), "n", band.alias("band"))
     if large.limit(1).count():
         _large(large, links, sigs, placed, words, share)
+    forget(dealt)
     comp = _linked_components(links)
+    for t in links:
+        if t is not None:
+            forget(t)
+    classes = stand.select("key", "rep", "rows")
     if comp is not None:
         classes = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     else:
         classes = classes.withColumn("component", F.lit(None).cast("long"))
-    out = told.select("doc_id", "n", "key").join(classes, "key", "left")
+    # A class of copies may hold a third of all rows.
+    out = spread_join(told.select("doc_id", "n", "key"), written(classes, "classes"), ["key"], "rows", ["doc_id", "n"])
     own = F.when(F.col("doc_id").isNull(), None)
     return out.select(
         "doc_id",
@@ -478,7 +453,8 @@ def _large(tiles: DataFrame, links: list[DataFrame | None], sigs: DataFrame, pla
         new = _settle(best.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct(), sigs, placed, words, share)
         if new is not None:
             links.append(new)
-            now = written(with_components(), "large")
+            before, now = now, written(with_components(), "large")
+            forget(before)
     twice = F.array(F.struct("band", F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("own")))
     places = now.select("h", F.explode(twice).alias("p"), "rep", "comp", "n").select("h", "p.band", "p.own", "rep", "comp", "n")
     mixed = places.groupBy("h", "band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("own").alias("home")).filter("c1 <> c2 and home")
@@ -489,3 +465,5 @@ def _large(tiles: DataFrame, links: list[DataFrame | None], sigs: DataFrame, pla
     spread = dealt.repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
     pairs = written(spread.mapInArrow(_tile_pairs(share), "a long, b long").distinct(), "pairs")
     links.append(_settle(pairs, sigs, placed, words, share))
+    for t in (pairs, now):
+        forget(t)
