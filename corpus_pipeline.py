@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated windows of lines go; so does a text that was nothing else."""
-    cut = dedup_lines(docs.select(*COLUMNS), window=3).filter((F.col("n_removed") < F.col("n_lines")) | F.col("text").isNull())
+    cut = dedup_lines(docs.select(*COLUMNS), window=3).filter((F.col("n_removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -47,9 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of which a twentieth or more is benchmark go."""
-    whole = docs.select(*COLUMNS).withColumn("body", F.col("text"))
-    found = contamination(whole, table(spark, sf_dir, "benchmark").select("item_id", "text"), words=13, share=(1, 20))
-    return found.filter(~F.col("contaminated")).select(*[F.col("body").alias("text") if c == "text" else F.col(c) for c in COLUMNS])
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = contamination(docs.select(*COLUMNS), items, words=13, share=(1, 20), keep_text=True)
+    return found.filter(~F.col("contaminated")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str | None = None) -> DataFrame:
