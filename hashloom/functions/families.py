@@ -1,23 +1,24 @@
 """Hash families as plans: each adds a column of 32-bit hashes (BIGINT) to a frame.
 
-Families over 32-bit keys, and those over byte strings of a fixed length, are built-in
-expressions only.  Byte strings of any length go through an Arrow batch function in numpy,
-which works on all strings of one length at once.
+Families over 32-bit keys are built-in expressions, but for rapid hash, whose 128-bit
+products Spark has no arithmetic for.  That one and byte strings go through Arrow batch
+functions in numpy, which work on all strings of one length at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hashloom.functions import params
-from hashloom.functions.u64 import M32, M64, Steps, bits, joined, limb, limbs_of, low32, product, signed
+from hashloom.functions.u64 import M32, M64, in_batches, limbs_of, low32, signed
 
 # The secrets and the default seed of rapidhash.
 SECRET = (0x2D358DCCAA6C78A5, 0x8BB84B93962EACC9, 0x4B33A62ED433D4A3)
@@ -67,15 +68,18 @@ def simple_tabulation(x: Column, table: list[list[int]]) -> Column:
 
 
 def tornado(df: DataFrame, key: str, out: str, table: list[list[int]]) -> DataFrame:
-    """Tornado tabulation; one derived character for each table after the third."""
-    steps, x = Steps(df), F.col(key)
+    """Tornado tabulation; one derived character for each table after the third.  What is
+    used twice is a projection of its own, which Spark doesn't fold into the next one."""
+    x = F.col(key)
     h = _looked_up(table[0], byte_of(x, 0))
     for i in (1, 2):
         h = h.bitwiseXOR(_looked_up(table[i], byte_of(x, i)))
-    (h,) = steps.let(h.bitwiseXOR(byte_of(x, 3)))
-    for derived in table[3:]:
-        (h,) = steps.let(F.shiftrightunsigned(h, 8).bitwiseXOR(_looked_up(derived, h.bitwiseAND(long(255)))))
-    return steps.done(out, low32(h))
+    df = df.withColumn("__t0", h.bitwiseXOR(byte_of(x, 3)))
+    for k, derived in enumerate(table[3:]):
+        h = F.col(f"__t{k}")
+        df = df.withColumn(f"__t{k + 1}", F.shiftrightunsigned(h, 8).bitwiseXOR(_looked_up(derived, h.bitwiseAND(long(255)))))
+    last = len(table) - 3
+    return df.withColumn(out, low32(F.col(f"__t{last}"))).drop(*(f"__t{k}" for k in range(last + 1)))
 
 
 def mix_py(a: int, b: int) -> int:
@@ -88,20 +92,15 @@ def seeded(seed: int, length: int) -> int:
     return seed ^ mix_py(seed ^ SECRET[0], SECRET[1]) ^ length
 
 
-def rapid_u32(df: DataFrame, key: str, out: str, seed: int = RAPID_SEED) -> DataFrame:
+def rapid_u32_batch(x: np.ndarray, seed: int) -> np.ndarray:
     """Rapid hash, upper 32 bits, of the key's four bytes: both reads give (x << 32) | x."""
-    steps, x = Steps(df), F.col(key)
-    both = F.shiftleft(x, 32).bitwiseOR(x)
-    a, b = both.bitwiseXOR(bits(SECRET[1])), both.bitwiseXOR(bits(seeded(seed, 4)))
-    parts = steps.let(*[limb(v, k) for v in (a, b) for k in range(4)])
-    p = product(steps, parts[:4], parts[4:], 8)
-    low, high = joined(p[:4]).bitwiseXOR(bits(SECRET[0] ^ 4)), joined(p[4:]).bitwiseXOR(bits(SECRET[1]))
-    parts = steps.let(*[limb(v, k) for v in (low, high) for k in range(4)])
-    p = product(steps, parts[:4], parts[4:], 8)
-    return steps.done(out, F.shiftleft(p[7].bitwiseXOR(p[3]), 16).bitwiseOR(p[6].bitwiseXOR(p[2])))
+    both = (x << np.uint64(32)) | x
+    low, high = _mul(both ^ np.uint64(SECRET[1]), both ^ np.uint64(seeded(seed, 4)))
+    return _mix(low ^ np.uint64(SECRET[0] ^ 4), high ^ np.uint64(SECRET[1])) >> np.uint64(32)
 
 
-# -- byte strings of one length, as Columns ---------------------------------------------
+def rapid_u32(key: Column, seed: int = RAPID_SEED) -> Column:
+    return in_batches(lambda x: rapid_u32_batch(x, seed))(key)
 
 
 def word_le(key: Column, i: int) -> Column:
@@ -110,26 +109,7 @@ def word_le(key: Column, i: int) -> Column:
     return F.conv(F.concat(*pair), 16, 10).cast("long")
 
 
-def ms_vector_fixed(df: DataFrame, key: str, out: str, coeffs: list[int], length: int) -> DataFrame:
-    """Vector multiply-shift of keys of ``length`` bytes, a multiple of four."""
-    if length % 4:
-        raise ValueError("whole words only; use the batch function")
-    steps = Steps(df)
-    words = steps.let(*[word_le(F.col(key), i) for i in range(length // 4)])
-    sums = []
-    for k in range(4):
-        total = long(0)
-        for i, w in enumerate(words):
-            total = total + w * long(limbs_of(coeffs[i % len(coeffs)])[k])
-        sums.append(total)
-    sums = steps.let(*sums)
-    carry = [sums[0]]
-    for s in sums[1:]:
-        carry.append(s + F.shiftrightunsigned(carry[-1], 16))
-    return steps.done(out, F.shiftleft(carry[3].bitwiseAND(long(0xFFFF)), 16).bitwiseOR(carry[2].bitwiseAND(long(0xFFFF))))
-
-
-# -- byte strings of any length, in batches ---------------------------------------------
+# -- byte strings, in batches ---------------------------------------------
 
 
 def _mul(a, b):
@@ -206,34 +186,47 @@ def ms_vector_batch(m: np.ndarray, coeffs: list[int]) -> np.ndarray:
     return h >> np.uint64(32)
 
 
-def _by_length(keys: pd.Series, f: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
-    out = np.zeros(len(keys), np.uint64)
-    null = keys.isna().to_numpy()
-    lengths = np.array([-1 if x else len(k) for k, x in zip(keys, null, strict=True)])
-    values = keys.tolist()
-    for n in np.unique(lengths[lengths >= 0]).tolist():
+def loaded(keys: pa.Array):
+    """Integers as a uint64 array; byte strings as (their number, [(places, byte matrix)
+    of each length])."""
+    if pa.types.is_integer(keys.type):
+        return keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    keys = keys.cast(pa.large_binary())
+    ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    data = np.frombuffer(keys.buffers()[2] or b"", np.uint8)
+    lengths, parts = np.diff(ends), []
+    for n in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == n)
-        m = np.frombuffer(b"".join(bytes(values[i]) for i in at), np.uint8).reshape(len(at), n)
+        parts.append((at, data[ends[at][:, None] + np.arange(n)]))
+    return len(keys), parts
+
+
+def over_rows(keys, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    out = np.zeros(keys[0], np.uint64)
+    for at, m in keys[1]:
         out[at] = f(m)
-    return pd.Series(out.view(np.int64)).mask(null)
+    return out
 
 
-def ms_vector(key: Column, coeffs: list[int]) -> Column:
-    @F.pandas_udf(T.LongType())
-    def f(k: pd.Series) -> pd.Series:
-        return _by_length(k, lambda m: ms_vector_batch(m, coeffs))
+def _by_length(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """A function of the rows of a byte matrix as one of a BINARY column."""
 
-    return f(key)
+    @F.arrow_udf(T.LongType())
+    def run(keys: pa.Array) -> pa.Array:
+        out = over_rows(loaded(keys), f)
+        null = keys.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(out.view(np.int64), pa.int64(), mask=null if null.any() else None)
 
+    return run
 
-def rapid(key: Column, seed: int = RAPID_SEED) -> Column:
-    """The 64-bit rapid hash, as a BIGINT of the same bits."""
 
-    @F.pandas_udf(T.LongType())
-    def f(k: pd.Series) -> pd.Series:
-        return _by_length(k, lambda m: rapid64_batch(m, seed))
+def ms_vector(key: Column, coeffs: list[int]) -> Column:
+    return _by_length(lambda m: ms_vector_batch(m, coeffs))(key)
+
 
-    return f(key)
+def rapid(key: Column, seed: int = RAPID_SEED) -> Column:
+    """The 64-bit rapid hash, as a BIGINT of the same bits."""
+    return _by_length(lambda m: rapid64_batch(m, seed))(key)
 
 
 def rapid32(key: Column, seed: int = RAPID_SEED) -> Column:
@@ -253,56 +246,92 @@ def fnv1a32(key: Column) -> Column:
 @dataclass(frozen=True)
 class Family:
     """A hash family: ``apply(df, key, out, seed)`` adds the hash of ``key`` under the
-    parameters that ``seed`` determines."""
+    parameters that ``seed`` determines; ``batch(keys, seed)`` is the same in numpy, of
+    keys as :func:`loaded` gives them, for many seeds at once."""
 
     name: str
     apply: Callable[[DataFrame, str, str, int], DataFrame]
+    batch: Callable[[object, int], np.ndarray] | None = None
+
+
+@lru_cache(256)
+def _tables(kind: str, seed: int, depth: int = 0) -> np.ndarray:
+    return np.array(params.simple_table(seed) if kind == "simple" else params.tornado_table(seed, depth), np.uint64)
+
 
+def _byte(x: np.ndarray, i: int) -> np.ndarray:
+    return ((x >> np.uint64(8 * i)) & np.uint64(255)).astype(np.int64)
 
-def _tornado_u32(depth: int):
-    return lambda df, key, out, seed: tornado(df, key, out, params.tornado_table(seed, depth))
 
+def simple_batch(x: np.ndarray, seed: int) -> np.ndarray:
+    t = _tables("simple", seed)
+    return t[0][_byte(x, 0)] ^ t[1][_byte(x, 1)] ^ t[2][_byte(x, 2)] ^ t[3][_byte(x, 3)]
 
-def _vector(length: int | None, then: Callable[[DataFrame, str, str, int], DataFrame] | None):
+
+def tornado_batch(x: np.ndarray, seed: int, depth: int) -> np.ndarray:
+    t = _tables("tornado", seed, depth)
+    h = t[0][_byte(x, 0)] ^ t[1][_byte(x, 1)] ^ t[2][_byte(x, 2)] ^ (x >> np.uint64(24))
+    for derived in t[3:]:
+        h = (h >> np.uint64(8)) ^ derived[_byte(h, 0)]
+    return h & np.uint64(M32)
+
+
+def multiply_shift_batch(x: np.ndarray, seed: int) -> np.ndarray:
+    a, b = params.draw(seed, "ms", 0) | 1, params.draw(seed, "ms", 1)
+    return (x * np.uint64(a) + np.uint64(b)) >> np.uint64(32)
+
+
+def _simple(df: DataFrame, key: str, out: str, seed: int) -> DataFrame:
+    return df.withColumn(out, simple_tabulation(F.col(key), params.simple_table(seed)))
+
+
+def _tornado(depth: int, name: str) -> Family:
+    return Family(name, lambda df, key, out, seed: tornado(df, key, out, params.tornado_table(seed, depth)), lambda x, seed: tornado_batch(x, seed, depth))
+
+
+def _on_vector(name: str, then: Family | None) -> Family:
     """Vector multiply-shift, then a family over its 32-bit result.  All families of one
     seed share the coefficients, so they collide together where these do."""
 
     def apply(df: DataFrame, key: str, out: str, seed: int) -> DataFrame:
-        to, coeffs = out if then is None else f"{out}__ms", params.coefficients(seed)
-        df = df.withColumn(to, ms_vector(F.col(key), coeffs)) if length is None else ms_vector_fixed(df, key, to, coeffs, length)
-        return df if then is None else then(df, to, out, seed).drop(to)
+        to = out if then is None else f"{out}__ms"
+        df = df.withColumn(to, ms_vector(F.col(key), params.coefficients(seed)))
+        return df if then is None else then.apply(df, to, out, seed).drop(to)
 
-    return apply
+    def batch(keys, seed: int) -> np.ndarray:
+        h = over_rows(keys, lambda m: ms_vector_batch(m, params.coefficients(seed)))
+        return h if then is None else then.batch(h, seed)
 
+    return Family(name, apply, batch)
 
-def _simple(df: DataFrame, key: str, out: str, seed: int) -> DataFrame:
-    return df.withColumn(out, simple_tabulation(F.col(key), params.simple_table(seed)))
+
+def _named(families: list[Family]) -> dict[str, Family]:
+    return {f.name: f for f in families}
 
 
-U32 = {
-    f.name: f
-    for f in [
-        Family("MultShift", lambda df, key, out, seed: df.withColumn(out, multiply_shift(F.col(key), params.draw(seed, "ms", 0), params.draw(seed, "ms", 1)))),
-        Family("SimpleTab32", _simple),
-        *[Family(f"TornadoTab32D{d}", _tornado_u32(d)) for d in (1, 2, 3, 4)],
-        Family("RapidHash32", lambda df, key, out, seed: rapid_u32(df, key, out, params.draw(seed, "rapid"))),
+U32 = _named(
+    [
+        Family("MultShift", lambda df, key, out, seed: df.withColumn(out, multiply_shift(F.col(key), params.draw(seed, "ms", 0), params.draw(seed, "ms", 1))), multiply_shift_batch),
+        Family("SimpleTab32", _simple, simple_batch),
+        *[_tornado(d, f"TornadoTab32D{d}") for d in (1, 2, 3, 4)],
+        Family("RapidHash32", lambda df, key, out, seed: df.withColumn(out, rapid_u32(F.col(key), params.draw(seed, "rapid"))), lambda x, seed: rapid_u32_batch(x, params.draw(seed, "rapid"))),
     ]
-}
-
-
-def byte_families(length: int | None = None) -> dict[str, Family]:
-    """The families over byte strings; ``length`` if all keys have that many bytes."""
-    return {
-        f.name: f
-        for f in [
-            Family("MSVec", _vector(length, None)),
-            Family("TabOnMSVec", _vector(length, _simple)),
-            *[Family(f"TornadoOnMSVecD{d}", _vector(length, _tornado_u32(d))) for d in (1, 2, 3, 4)],
-            Family("RapidHash32", lambda df, key, out, seed: df.withColumn(out, rapid32(F.col(key), params.draw(seed, "rapid")))),
+)
+
+
+def byte_families() -> dict[str, Family]:
+    """The families over byte strings."""
+    rapid_batch = lambda keys, seed: over_rows(keys, lambda m: rapid64_batch(m, params.draw(seed, "rapid"))) >> np.uint64(32)
+    return _named(
+        [
+            _on_vector("MSVec", None),
+            _on_vector("TabOnMSVec", U32["SimpleTab32"]),
+            *[_on_vector(f"TornadoOnMSVecD{d}", U32[f"TornadoTab32D{d}"]) for d in (1, 2, 3, 4)],
+            Family("RapidHash32", lambda df, key, out, seed: df.withColumn(out, rapid32(F.col(key), params.draw(seed, "rapid"))), rapid_batch),
         ]
-    }
+    )
 
 
-def register(registry: dict[str, Family], name: str, apply: Callable[[DataFrame, str, str, int], DataFrame]) -> dict[str, Family]:
+def register(registry: dict[str, Family], name: str, apply: Callable[[DataFrame, str, str, int], DataFrame], batch=None) -> dict[str, Family]:
     """A registry with one more family."""
-    return registry | {name: Family(name, apply)}
+    return registry | {name: Family(name, apply, batch)}

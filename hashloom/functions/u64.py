@@ -1,14 +1,16 @@
-"""Unsigned 64-bit arithmetic on Columns, in limbs of 16 bits.
+"""Unsigned 64-bit arithmetic on Columns.
 
-Spark has no unsigned types and, in ANSI mode, BIGINT products must not overflow; a limb
-times a 32-bit number stays below 2^48.  A 64-bit value is a BIGINT of the same bits.
+Spark has no unsigned types and, in ANSI mode, BIGINT products must not overflow.  A 64-bit
+value is a BIGINT of the same bits; full products are made in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,86 +31,41 @@ def limbs_of(v: int) -> list[int]:
     return [(v >> s) & M16 for s in (0, 16, 32, 48)]
 
 
-def limb(x: Column, k: int) -> Column:
-    return F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(M16).cast("long"))
-
-
-def joined(limbs: list[Column]) -> Column:
-    out = limbs[0]
-    for k, x in enumerate(limbs[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(x, 16 * k))
-    return out
-
-
 def low32(x: Column) -> Column:
     return x.bitwiseAND(F.lit(M32).cast("long"))
 
 
-class Steps:
-    """Named intermediate columns on a frame.  A value used several times is computed by a
-    projection of its own, which keeps expressions small; all stay in one codegen stage.
-
-    The result is guarded by a condition that always holds but that the optimizer can't
-    fold: else a filter on the result would be pushed below and every step copied into it,
-    several times at each level.  So filter by other columns before hashing."""
-
-    def __init__(self, df: DataFrame):
-        self.df, self.count, self.own = df, 0, []
-
-    def let(self, *exprs: Column) -> list[Column]:
-        names = [f"__s{self.count + i}" for i in range(len(exprs))]
-        self.count += len(exprs)
-        self.own += names
-        self.df = self.df.withColumns(dict(zip(names, exprs, strict=True)))
-        return [F.col(n) for n in names]
-
-    def done(self, name: str, value: Column) -> DataFrame:
-        return self.df.withColumn(name, F.when(F.rand(0) >= 0, value)).drop(*self.own)
+def splitmix64_py(x: int) -> int:
+    x = (x + 0x9E3779B97F4A7C15) & M64
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
 
 
-def carried(sums: list[Column]) -> list[Column]:
-    """Limbs of a number given as sums at each limb's place."""
-    out, carry = [], None
-    for s in sums:
-        t = s if carry is None else s + carry
-        out.append(t.bitwiseAND(F.lit(M16).cast("long")))
-        carry = F.shiftrightunsigned(t, 16)
-    return out
+def in_batches(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """A function of uint64 arrays as one of BIGINT columns; null stays null.  As a Column
+    it is one node, so filters and joins on it copy no arithmetic."""
 
+    @F.arrow_udf(T.LongType())
+    def run(x: pa.Array) -> pa.Array:
+        null = x.is_null().to_numpy(zero_copy_only=False)
+        out = f(x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        return pa.array(out.view(np.int64), pa.int64(), mask=null if null.any() else None)
 
-def product(steps: Steps, a: list[Column | int], b: list[Column | int], size: int) -> list[Column]:
-    """The first ``size`` limbs of a product of two numbers in four limbs each."""
-    sums = []
-    for k in range(size):
-        terms = [a[i] * b[k - i] for i in range(4) if 0 <= k - i < 4]
-        total = F.lit(0).cast("long")
-        for t in terms:
-            total = total + t
-        sums.append(total)
-    return steps.let(*carried(steps.let(*sums)))
+    return lambda x: run(x.cast("long"))
 
 
-def splitmix64_py(x: int) -> int:
-    x = (x + 0x9E3779B97F4A7C15) & M64
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
-    return x ^ (x >> 31)
+def _splitmix64(h: np.ndarray) -> np.ndarray:
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def splitmix64(x: Column) -> Column:
     """splitmix64 of a BIGINT taken as unsigned.  Its two 64-bit products would be some
     hundred limb operations as Columns, so it is an Arrow batch function."""
-
-    @F.pandas_udf(T.LongType())
-    def f(k: pd.Series) -> pd.Series:
-        null = k.isna()
-        h = k.fillna(0).to_numpy(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out = pd.Series((h ^ (h >> np.uint64(31))).view(np.int64))
-        return out.mask(null) if null.any() else out
-
-    return f(x.cast("long"))
+    return in_batches(_splitmix64)(x)
 
 
 def fast_range32(h: Column, n: int) -> Column:

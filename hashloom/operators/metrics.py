@@ -28,8 +28,8 @@ def summary(rows: DataFrame, value: str = "relerr", by: str = "function") -> Dat
     stats = rows.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
     z = (F.col(value) - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     # A group's statistics are a row for each function: nothing here grows with the input.
-    sixth = rows.join(F.broadcast(stats), by).withColumn("z", z).groupBy(by).agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"), (F.avg(F.pow("z", F.lit(6.0))) - 0.0).alias("m6_raw"), F.avg("z").alias("mz"))
-    return sixth.drop("mz").withColumnRenamed("m6_raw", "m6").orderBy(by)
+    sixth = rows.join(F.broadcast(stats), by).withColumn("z", z).groupBy(by).agg(F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.avg(F.pow("z", F.lit(6.0))).alias("m6"))
+    return sixth.orderBy(by)
 
 
 def limits(rows: DataFrame, value: str = "relerr", pad: float = 0.05, exclude: Sequence[str] = (), by: str = "function", percentiles: tuple[float, float] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from hashloom.sources import datasets, extract
 QUERIES, ORACLE = {}, {}
 SEED = 42
 K, WIDTH, DEPTH, BINS = 500, 1024, 3, 200
-ALL_U32, ALL_R1 = list(fam.U32.values()), list(fam.byte_families(20).values())
+ALL_U32, ALL_R1 = list(fam.U32.values()), list(fam.byte_families().values())
 
 
 def query(name: str, oracle: str | None = None):
@@ -163,14 +163,14 @@ def _r1_sql(name: str) -> str:
 def _r1_query(name: str):
     def run(spark, sf_dir):
         keys = r1(spark, sf_dir).distinct()
-        return fam.byte_families(20)[name].apply(keys, "key", "h", SEED).select(F.lower(F.hex("key")).alias("key"), "h")
+        return fam.byte_families()[name].apply(keys, "key", "h", SEED).select(F.lower(F.hex("key")).alias("key"), "h")
 
     return run
 
 
 def _r1_sketches(name: str):
     def run(spark, sf_dir):
-        h = fam.byte_families(20)[name].apply(r1(spark, sf_dir).distinct(), "key", "h", SEED)
+        h = fam.byte_families()[name].apply(r1(spark, sf_dir).distinct(), "key", "h", SEED)
         n = exact.distinct_count(r1(spark, sf_dir), "key")
         est = sketches.bottom_k_estimate(sketches.bottom_k(h, "h", K), "h", K).crossJoin(F.broadcast(n))
         return est.withColumn("estimate", F.round("estimate", 6))
@@ -367,6 +367,21 @@ def extract_events(spark, sf_dir):
     return events.agg(F.count(F.lit(1)).alias("n_events"), F.sum(F.get_json_object("event", "$.k").cast("long")).alias("sum_k"))
 
 
+#: Made-up events: a SHA-1 after an escaped line feed and one deep inside count; a key, one
+#: that a word goes on after, what is no object, and broken lines don't.
+_EVENT_SHA = "sha1('{}' || CAST(o_orderkey AS VARCHAR))"
+
+
+@query("event_shas", f"SELECT {_EVENT_SHA.format('a')} AS sha FROM orders UNION SELECT {_EVENT_SHA.format('d')} FROM orders UNION SELECT {_EVENT_SHA.format('e')} FROM orders WHERE o_orderkey % 2 = 0")
+def event_shas(spark, sf_dir):
+    sha = {x: F.sha1(F.concat(F.lit(x), F.col("o_orderkey").cast("string")).cast("binary")) for x in "abcdefg"}
+    one = F.concat(F.lit('{"m": "revert\\n'), sha["a"], F.lit('", "'), sha["b"], F.lit('": 1, "l": ["'), sha["c"], F.lit('x", {"q": "\\"'), F.upper(sha["d"]), F.lit('\\" é"}]}'))
+    many = F.concat(F.lit('{"events": [{"payload": {"head_sha" : "'), sha["e"], F.lit('"}}, "'), sha["f"], F.lit('"]}'))
+    orders = table(spark, sf_dir, "orders")
+    broken = orders.select(F.concat(F.lit('{"m": "'), sha["g"]).alias("value"))
+    return extract.event_shas(orders.select(one.alias("value")).unionAll(orders.filter("o_orderkey % 2 = 0").select(many)).unionAll(broken))
+
+
 @query("hex_ids", "WITH t AS (SELECT '  ' || sha1(CAST(o_orderkey AS VARCHAR)) || CASE WHEN o_orderkey % 3 = 0 THEN 'zz' ELSE '' END AS line FROM orders UNION ALL SELECT substr(sha1(CAST(o_orderkey AS VARCHAR)), 1, 39) FROM orders) SELECT substr(ltrim(line), 1, 40) AS sha FROM t WHERE regexp_matches(line, '^[ \\t\\r\\n]*[0-9a-fA-F]{40}')")
 def hex_ids(spark, sf_dir):
     sha = F.sha1(F.col("o_orderkey").cast("string").cast("binary"))
@@ -436,11 +451,15 @@ def accuracy_csv(spark, sf_dir):
 
 def shared(spark: SparkSession, label: str) -> str:
     """A new path in the session's checkpoint folder, which all executors share; only where
-    none is set, a temporary one."""
+    none is set and the master is local, a temporary one."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='hashloom-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='hashloom-')}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -505,6 +524,53 @@ def accuracy_bottomk_a1(spark, sf_dir):
     return rounded(experiments.bottom_k_accuracy(datasets.a1(spark, A1_N), "key", ALL_U32, 24_500, REPS))
 
 
+def r1_sided(spark, sf_dir):
+    pos = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(pos.alias("pos"), F.unhex(F.sha1(F.col("o_custkey").cast("string").cast("binary"))).alias("key"))
+    return datasets.split(orders, 0xC0FFEE)
+
+
+def r2_sided(spark, sf_dir):
+    """Words by halves of the documents."""
+    words = datasets.words(table(spark, sf_dir, "documents"))
+    return words.select(F.encode("word", "UTF-8").alias("key"), (F.col("doc_id") % 2).cast("int").alias("side"))
+
+
+#: The published width, and fewer repetitions: each sends every key's cells.
+A1_WIDTH, FEW_REPS = 32_768, 3
+ALL_BYTES = list(fam.byte_families().values())
+
+
+@query("accuracy_bottomk_r1")
+def accuracy_bottomk_r1(spark, sf_dir):
+    return rounded(experiments.bottom_k_accuracy(r1(spark, sf_dir), "key", ALL_BYTES, K, REPS))
+
+
+@query("accuracy_countmin_a1")
+def accuracy_countmin_a1(spark, sf_dir):
+    return rounded(experiments.count_min_accuracy(datasets.a1(spark, A1_N), "key", ALL_U32, A1_WIDTH, DEPTH, FEW_REPS))
+
+
+@query("accuracy_countmin_r2")
+def accuracy_countmin_r2(spark, sf_dir):
+    return rounded(experiments.count_min_accuracy(r2(spark, sf_dir), "key", ALL_BYTES, A1_WIDTH, DEPTH, FEW_REPS, direct=False))
+
+
+@query("accuracy_oph_a1")
+def accuracy_oph_a1(spark, sf_dir):
+    return rounded(experiments.oph_accuracy(datasets.split(datasets.a1(spark, A1_N), 0xC0FFEE), "key", ALL_U32, BINS, REPS))
+
+
+@query("accuracy_oph_r1")
+def accuracy_oph_r1(spark, sf_dir):
+    return rounded(experiments.oph_accuracy(r1_sided(spark, sf_dir), "key", ALL_BYTES, BINS, REPS))
+
+
+@query("accuracy_oph_r2")
+def accuracy_oph_r2(spark, sf_dir):
+    return rounded(experiments.oph_accuracy(r2_sided(spark, sf_dir), "key", ALL_BYTES, BINS, REPS))
+
+
 # -- streaming (an extension) ----------------------------------------------------------------
 
 

@@ -1,43 +1,62 @@
 """The experiment catalog: accuracy over repeated seeds.
 
-Every family is a hash column over the distinct keys, columns are turned to rows, and the
-repetitions are branches of one plan; ground truth is computed once.
+The distinct keys pass once through an Arrow function that hashes them under the parameters
+of every family and repetition and sends on sketch state only.  The plan is of one size
+whatever the number of repetitions; ground truth is computed once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.functions import params
-from hashloom.functions.families import Family, row_hash
-from hashloom.functions.u64 import fast_range32
+from hashloom.functions.families import Family, loaded
+from hashloom.functions.u64 import M32
 from hashloom.operators import exact, metrics, sketches
 
 FUNCTION = ["function", "rep"]
 
 
-def hashed(keys: DataFrame, key: str, families: Sequence[Family], reps: int, seed: int) -> DataFrame:
-    """(keys' columns, function, rep, h)."""
-    # A branch for each repetition: with all columns in a row, 20 of them failed in the analyser.
-    each = []
-    for rep in range(1, reps + 1):
-        wide, parts = keys, []
-        for i, family in enumerate(families):
-            name = f"__h{i}"
-            wide = family.apply(wide, key, name, params.draw(seed, "rep", rep))
-            parts.append(F.struct(F.lit(family.name).alias("function"), F.lit(rep).alias("rep"), F.col(name).alias("h")))
-        each.append(wide.select(*keys.columns, F.explode(F.array(*parts)).alias("x")).select(*keys.columns, "x.*"))
-    return reduce(DataFrame.unionAll, each)
+def _part(distinct: DataFrame, key: str, jobs: list[tuple[str, int, int, Family]], extra: list[str], state) -> DataFrame:
+    """One Arrow function over the keys for all (function, repetition) of ``jobs``, each
+    with its seed.  ``state(hashes, extras)`` says which rows (places in the batch) and what
+    values of a hash go on, so a task sends sketch state and not hashes."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = loaded(batch.column(0))
+            extras = [batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(extra))]
+            for name, rep, seed, family in jobs:
+                at, h = state(family.batch(keys, seed).view(np.int64), extras)
+                cols = [pa.array([name] * len(at)), pa.array(np.full(len(at), rep, np.int32)), pa.array(h)]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x[at]) for x in extras)], names=["function", "rep", "h", *extra])
+
+    kept = distinct.select(key, *extra)
+    types = "".join(f", {c} {kept.schema[c].dataType.simpleString()}" for c in extra)
+    return kept.mapInArrow(run, "function string, rep int, h long" + types)
+
+
+def _jobs(families: Sequence[Family], reps: int, seed: int) -> list[tuple[str, int, int, Family]]:
+    return [(f.name, rep, params.draw(seed, "rep", rep), f) for rep in range(1, reps + 1) for f in families]
 
 
 def bottom_k_accuracy(stream: DataFrame, key: str, families: Sequence[Family], k: int = 24_500, reps: int = 3, seed: int = 1) -> DataFrame:
-    """(function, rep, relerr) of the distinct count."""
+    """(function, rep, relerr) of the distinct count.  A batch sends its k smallest hashes."""
+
+    def smallest(h, _):
+        import numpy as np
+
+        h, at = np.unique(h, return_index=True)
+        return at[:k], h[:k]
+
     distinct = stream.select(key).distinct()
-    state = sketches.bottom_k(hashed(distinct, key, families, reps, seed), "h", k, FUNCTION)
+    state = sketches.bottom_k(_part(distinct, key, _jobs(families, reps, seed), [], smallest), "h", k, FUNCTION)
     true = exact.distinct_count(stream, key)  # one row
     est = sketches.bottom_k_estimate(state, "h", k, FUNCTION).crossJoin(F.broadcast(true))
     return est.select(*FUNCTION, metrics.relative_error(F.col("estimate"), F.col("n_distinct")).alias("relerr"))
@@ -45,29 +64,52 @@ def bottom_k_accuracy(stream: DataFrame, key: str, families: Sequence[Family], k
 
 def count_min_accuracy(stream: DataFrame, key: str, families: Sequence[Family], width: int = 32_768, depth: int = 3, reps: int = 2, seed: int = 1, direct: bool = True) -> DataFrame:
     """(function, rep, relerr): mean over distinct keys.  ``direct``: each row is the family
-    under parameters of its own; otherwise the family's hash goes through a row hash."""
+    under parameters of its own; otherwise the family's hash goes through a row hash.  A
+    key's cells of all rows travel as one row, so an estimate is a minimum over an array."""
     freq = exact.frequencies(stream, key)
-    if direct:
-        each = None
-        for r in range(depth):
-            part = hashed(freq, key, families, reps, params.draw(seed, "row", r)).withColumn("row", F.lit(r))
-            each = part if each is None else each.unionAll(part)
-        cells = each.withColumn("col", fast_range32(F.col("h"), width))
-    else:
-        # Row parameters differ by repetition, families share them.
-        of = lambda rep, r: row_hash(F.col("h"), params.draw(seed, "row_a", rep * depth + r), params.draw(seed, "row_b", rep * depth + r))
-        col = lambda r: F.coalesce(*[F.when(F.col("rep") == rep, fast_range32(of(rep, r), width)) for rep in range(1, reps + 1)])
-        rows = F.array(*[F.struct(F.lit(r).alias("row"), col(r).alias("col")) for r in range(depth)])
-        cells = hashed(freq, key, families, reps, seed).withColumn("c", F.explode(rows)).select(key, "freq", *FUNCTION, "c.*")
-    cells = cells.select(key, "freq", *FUNCTION, "row", "col")
-    counters = cells.groupBy(*FUNCTION, "row", "col").agg(F.least(F.sum("freq"), F.lit(sketches.SATURATED)).alias("cnt"))
-    est = cells.join(counters, [*FUNCTION, "row", "col"]).groupBy(*FUNCTION, key).agg(F.min("cnt").alias("est"), F.first("freq").alias("freq"))
+    names = [f.name for f in families]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, n = loaded(batch.column(0)), batch.num_rows
+            for rep in range(1, reps + 1):
+                for name, family in zip(names, families, strict=True):
+                    cols = []
+                    for r in range(depth):
+                        if direct:
+                            h = family.batch(keys, params.draw(params.draw(seed, "row", r), "rep", rep))
+                        else:
+                            h = family.batch(keys, params.draw(seed, "rep", rep)) if not r else h
+                        a, b = (np.uint64(params.draw(seed, f"row_{x}", rep * depth + r) & M32) for x in "ab")
+                        of = h if direct else ((a | np.uint64(1)) * h + b) & np.uint64(M32)
+                        cols.append((of * np.uint64(width)) >> np.uint64(32))
+                    cells = np.stack(cols, axis=1).astype(np.int32).ravel()
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * depth), pa.array(cells))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, rep, np.int32)), *batch.columns, lists], names=["function", "rep", key, "freq", "cells"])
+
+    asked = freq.select(key, "freq").mapInArrow(run, f"function string, rep int, {key} {freq.schema[key].dataType.simpleString()}, freq long, cells array<int>")
+    each = asked.select(*FUNCTION, key, "freq", F.posexplode("cells").alias("row", "col"))
+    counters = each.groupBy(*FUNCTION, "row", "col").agg(F.least(F.sum("freq"), F.lit(sketches.SATURATED)).alias("cnt"))
+    est = each.join(counters, [*FUNCTION, "row", "col"]).groupBy(*FUNCTION, key).agg(F.min("cnt").alias("est"), F.first("freq").alias("freq"))
     return est.groupBy(*FUNCTION).agg(F.avg(metrics.relative_error(F.col("est"), F.col("freq"))).alias("relerr"))
 
 
 def oph_accuracy(stream: DataFrame, key: str, families: Sequence[Family], m: int = 200, reps: int = 3, seed: int = 1) -> DataFrame:
-    """(function, rep, relerr) of the Jaccard similarity of sides 0 and 1."""
+    """(function, rep, relerr) of the Jaccard similarity of sides 0 and 1.  A batch sends
+    the least hash of each bin and side."""
+
+    def least(h, extras):
+        import numpy as np
+
+        place = (h * m >> 32) * 2 + extras[0]
+        order = np.lexsort((h, place))
+        first = order[np.r_[True, np.diff(place[order]) != 0]] if len(order) else order
+        return first, h[first]
+
     keys = stream.select(key, "side").distinct()
-    est = sketches.oph_jaccard_sides(hashed(keys, key, families, reps, seed), "h", m, FUNCTION)
+    est = sketches.oph_jaccard_sides(_part(keys, key, _jobs(families, reps, seed), ["side"], least), "h", m, FUNCTION)
     true = exact.set_sizes(keys, key).select(F.col("jaccard").alias("true"))  # one row
     return est.crossJoin(F.broadcast(true)).select(*FUNCTION, metrics.jaccard_error(F.col("jaccard"), F.col("true")).alias("relerr"))

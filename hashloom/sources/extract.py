@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SHA1 = r"\b[0-9a-fA-F]{40}\b"
 ACCURACY = "function string, rep int, relerr double"
 SPEED = "function string, Mhash_s double, ns_per_hash double, checksum_hex string, loops bigint, N bigint"
+#: Parameters of a sketch that a speed file may have after those.
+SPEED_EXTRA = ("K", "width", "depth")
 
 
 def sha1_ids(texts: DataFrame, col: str = "text") -> DataFrame:
@@ -23,12 +25,21 @@ def json_events(rows: DataFrame, col: str = "value") -> DataFrame:
     v = F.try_parse_json(F.col(col))
     of = lambda path: F.try_variant_get(F.col("v"), path, "array<variant>")
     each = F.coalesce(of("$"), of("$.events"), F.array("v"))
-    return rows.select(v.alias("v")).filter("v is not null").select(F.explode(each).alias("event")).select(F.to_json("event").alias("event"))
+    events = rows.select(v.alias("v")).filter("v is not null").select(F.explode(each).alias("event"))
+    return events.select(F.to_json("event").alias("event")).filter(F.col("event").startswith("{"))
+
+
+#: A string of a JSON text without spaces between its parts; a colon after it makes it a key.
+STRING = r'"(?:[^"\\]++|\\.)*+":?'
 
 
 def event_shas(rows: DataFrame, col: str = "value") -> DataFrame:
-    """Every SHA-1 in any string of any event."""
-    return sha1_ids(json_events(rows, col), "event")
+    """(sha): every SHA-1 in any string value, at any depth, of any event; object keys don't
+    count.  An escape stands for a sign that is no part of a word, so it parts words."""
+    strings = F.filter(F.regexp_extract_all("event", F.lit(STRING), F.lit(0)), lambda s: ~s.endswith('":'))
+    plain = F.transform(strings, lambda s: F.regexp_replace(s, r"\\(?:u[0-9a-fA-F]{4}|.)", " "))
+    some = json_events(rows, col).filter(F.col("event").rlike("[0-9a-fA-F]{40}"))
+    return sha1_ids(some.select(F.explode(plain).alias("event")), "event")
 
 
 def read_json_events(spark: SparkSession, path: str, lines: bool) -> DataFrame:
@@ -57,12 +68,17 @@ def read_accuracy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_speed(rows: DataFrame, path: str) -> None:
+    """CSV with header; K, or width and depth, where the rows have them."""
     six = lambda c: F.format_string("%.6f", c)
-    rows.select("function", six("mhash_s").alias("Mhash_s"), six("ns_per_hash").alias("ns_per_hash"), F.concat(F.lit("0x"), F.lower(F.hex("checksum"))).alias("checksum_hex"), "loops", F.col("n").alias("N")).write.mode("overwrite").option("header", True).csv(path)
+    extra = [c for c in SPEED_EXTRA if c in rows.columns]
+    out = rows.select("function", six("mhash_s").alias("Mhash_s"), six("ns_per_hash").alias("ns_per_hash"), F.concat(F.lit("0x"), F.lower(F.hex("checksum"))).alias("checksum_hex"), "loops", F.col("n").alias("N"), *extra)
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_speed(spark: SparkSession, path: str) -> DataFrame:
-    return required(spark.read.csv(path, header=True, schema=SPEED), ["function", "ns_per_hash"])
+    names = spark.read.csv(path, header=True).columns
+    schema = SPEED + "".join(f", {c} bigint" for c in SPEED_EXTRA if c in names)
+    return required(spark.read.csv(path, header=True, schema=schema), ["function", "ns_per_hash"])
 
 
 def required(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -51,14 +51,6 @@ def test_byte_families_match_the_model(strings):
         assert r.RapidHash32 == model.rapid(k, params.draw(seed, "rapid")) >> 32
 
 
-def test_fixed_length_is_the_same_as_any_length(spark):
-    rng = random.Random(7)
-    df = spark.createDataFrame([(bytearray(rng.randbytes(20)),) for _ in range(20)], "key binary")
-    for name in ("MSVec", "TornadoOnMSVecD2"):
-        a = fam.byte_families(20)[name].apply(df, "key", "h", 3).collect()
-        assert a == fam.byte_families()[name].apply(df, "key", "h", 3).collect()
-
-
 def test_null_keys_have_null_hashes(spark):
     df = spark.createDataFrame([(None,)], "key binary")
     assert fam.byte_families()["RapidHash32"].apply(df, "key", "h", 3).first().h is None
@@ -81,9 +73,32 @@ def test_splitmix_rowhash_range_and_fnv(spark, numbers):
     assert [r.h for r in df.select("key", fam.fnv1a32(F.col("key")).alias("h")).collect()] == [fnv(b) for b in (b"", b"a", b"hello\xff")]
 
 
-def test_a_filter_on_a_hash_keeps_its_plan_small(numbers):
-    kept = fam.U32["RapidHash32"].apply(numbers, "key", "h", 1).filter("h % 2 = 0")
-    assert kept.count() == sum(model.rapid(r.key.to_bytes(4, "little"), params.draw(1, "rapid")) >> 32 & 1 == 0 for r in numbers.collect())
+@pytest.mark.parametrize("name", [*fam.U32, *(f"bytes {n}" for n in fam.byte_families())])
+def test_plans_on_a_hash_stay_small(numbers, strings, name):
+    kind, _, short = name.rpartition(" ")
+    given, family = (strings, fam.byte_families()[short]) if kind else (numbers, fam.U32[short])
+    h = family.apply(given, "key", "h", 1)
+    want = [r.h for r in h.collect()]
+    assert h.filter("h % 2 = 0").count() == sum(x % 2 == 0 for x in want)
+    assert h.groupBy("h").count().count() == len(set(want))
+    other = family.apply(given, "key", "g", 1).select("g").distinct()
+    assert h.join(other, h.h == other.g).filter("g > 5").count() == sum(x > 5 for x in want)
+
+
+@pytest.mark.parametrize("name", [*fam.U32, *(f"bytes {n}" for n in fam.byte_families())])
+def test_batches_equal_columns(numbers, strings, name):
+    import pyarrow as pa
+
+    kind, _, short = name.rpartition(" ")
+    given, family = (strings, fam.byte_families()[short]) if kind else (numbers, fam.U32[short])
+    rows = family.apply(given, "key", "h", 11).select("key", "h").collect()
+    keys = pa.array([bytes(r.key) if kind else r.key for r in rows], pa.binary() if kind else pa.int64())
+    assert family.batch(fam.loaded(keys), 11).tolist() == [r.h for r in rows]
+
+
+def test_rapid_default_seed_equals_the_model(strings):
+    for r in strings.select("key", fam.rapid(F.col("key")).alias("h")).collect():
+        assert r.h & model.M64 == model.rapid(bytes(r.key), fam.RAPID_SEED)
 
 
 def test_registry_and_bad_ranges(spark, numbers):
@@ -91,5 +106,3 @@ def test_registry_and_bad_ranges(spark, numbers):
     assert more["Identity"].apply(numbers, "key", "h", 0).filter("h <> key").count() == 0
     with pytest.raises(ValueError):
         fast_range32(F.col("key"), 0)
-    with pytest.raises(ValueError):
-        fam.ms_vector_fixed(numbers, "key", "h", params.coefficients(1), 5)
