@@ -1,20 +1,24 @@
 """Document fingerprints: threshold-scaled sketches of character shingles.
 
 A text's shingles are all runs of ``WIDTH`` code points (a shorter text is one shingle).
-Each has a 48-bit hash; the fingerprint keeps every hash below a fixed fraction, 1/16, of
-the hash space, however many that are, so a long text keeps more than a short one, two
-fingerprints can be compared or merged whatever the lengths of their texts, and a part's
-containment in a whole is estimated without bias.  A text of at most ``SHORT`` distinct
-shingles, for which a sixteenth tells nothing, keeps all, and so does one that has none
-below the fraction; against a longer one only what lies below the fraction counts, as it
-must.
+Each has a 48-bit hash; the fingerprint keeps every hash below a fixed fraction, 1 /
+``FRACTION``, of the hash space, however many that are, so a long text keeps more than a
+short one, two fingerprints can be compared or merged whatever the lengths of their texts,
+and a part's containment in a whole is estimated without bias.  The fraction is the same
+for every text.  A text that has no hash below it keeps its least hash alone, as a mark
+above the threshold: two such texts are as alike as their marks are equal, and against any
+other text a mark counts for nothing.
+
+An estimate of similarity s from n distinct shingles of both texts has a standard error of
+sqrt(s (1 - s) FRACTION / n): 0.05 at 400 shingles and s = 0.5.
 
 A fingerprint is a string: the denominator of its fraction, a colon, and the sorted
 hashes in base64 (8 letters each).  Equal texts have equal fingerprints.
 
 Defined cases: the empty text and null have no shingles and an empty sketch, as no other
-text has; two empty sketches of such texts are alike (1.0), an empty one is unlike any
-other (0.0).
+text has; two empty ones are alike (1.0), an empty one is unlike any other (0.0); an empty
+table gives none; very long texts are taken whole; null ids come last and repeated rows
+give a row each, ties being in order of text; other columns than id and text are left out.
 """
 
 from __future__ import annotations
@@ -28,79 +32,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WIDTH, FRACTION, SHORT = 8, 16, 256
+from hashloom.llm.shared import mix64, plus, stretches
+
+WIDTH, FRACTION = 8, 4
+TOP = np.uint64((1 << 48) // FRACTION)
 _P = (0x9E3779B97F4A7C15 | 1) % (1 << 64)
 _POWERS = [np.uint64(pow(_P, k, 1 << 64)) for k in range(WIDTH + 1)]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) >> np.uint64(16)
-
-
-def sketch(text: str) -> tuple[int, np.ndarray]:
-    """(denominator of the fraction, sorted distinct 48-bit hashes below it)."""
+def sketch(text: str) -> np.ndarray:
+    """Sorted distinct 48-bit hashes below the fraction, or the least one alone if none is."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if not len(c):
-        return 1, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     if len(c) < WIDTH:
         h = np.uint64(len(c))
         with np.errstate(over="ignore"):
             for x in c:
                 h = h * _POWERS[1] + x + np.uint64(1)
-        return 1, _mix(np.array([h], np.uint64))
+        return mix64(np.array([h], np.uint64)) >> np.uint64(16)
     two = c[:-1] * _POWERS[1] + c[1:]
     four = two[:-2] * _POWERS[2] + two[2:]
-    h = _mix(four[:-4] * _POWERS[4] + four[4:])
-    some = np.unique(h[h < np.uint64((1 << 48) // FRACTION)])
-    if len(some) <= SHORT:  # otherwise there are more than SHORT anyway
-        whole = np.unique(h)
-        if len(whole) <= SHORT or not len(some):
-            return 1, whole
-    return FRACTION, some
+    h = mix64(four[:-4] * _POWERS[4] + four[4:]) >> np.uint64(16)
+    some = h[h < TOP]
+    return np.unique(some) if len(some) else h.min(keepdims=True)
 
 
-def to_string(s: tuple[int, np.ndarray]) -> str:
-    raw = s[1].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-    return f"{s[0]}:{base64.b64encode(raw.tobytes()).decode()}"
+def to_string(s: np.ndarray) -> str:
+    raw = s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    return f"{FRACTION}:{base64.b64encode(raw.tobytes()).decode()}"
 
 
-def from_string(s: str) -> tuple[int, np.ndarray]:
+def from_string(s: str) -> np.ndarray:
     scale, _, data = s.partition(":")
+    if int(scale) != FRACTION:
+        raise ValueError(f"a fingerprint of another fraction: 1/{scale}")
     raw = np.frombuffer(base64.b64decode(data), np.uint8).reshape(-1, 6)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, 2:] = raw
-    return int(scale), out.view(">u8").ravel().astype(np.uint64)
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
-def _level(a, b):
-    """Both sketches' hashes at the coarser fraction of the two."""
-    scale = max(a[0], b[0])
-    top = np.uint64((1 << 48) // scale)
-    return scale, *(x if s == scale else x[x < top] for s, x in (a, b))
+def _below(s: np.ndarray) -> np.ndarray:
+    """What of a sketch isn't a mark."""
+    return s if len(s) and s[0] < TOP else s[:0]
 
 
-def likeness(a, b) -> float:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated Jaccard similarity of the shingle sets."""
-    if a[0] == b[0] and np.array_equal(a[1], b[1]) and (len(a[1]) or a[0] == 1):
+    if np.array_equal(a, b):
         return 1.0
-    _, x, y = _level(a, b)
+    x, y = _below(a), _below(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
     whole = len(x) + len(y) - both
     return both / whole if whole else 0.0
 
 
-def containment(a, b) -> float:
+def containment(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of a's shingles that b has too."""
-    _, x, y = _level(a, b)
-    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else 0.0
+    x = _below(a)
+    if not len(x):
+        return float(len(a) > 0 and np.array_equal(a, b))
+    return len(np.intersect1d(x, _below(b), assume_unique=True)) / len(x)
 
 
-def merge(a, b):
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of both shingle sets together."""
-    scale, x, y = _level(a, b)
-    return scale, np.union1d(x, y)
+    x = np.union1d(_below(a), _below(b))
+    return x if len(x) else np.concatenate((a, b)).min(keepdims=True) if len(a) + len(b) else a
 
 
 @F.pandas_udf(T.StringType())
@@ -166,32 +165,32 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 def _compare(batches):
     import pyarrow as pa
 
-    last: tuple[str, tuple] = ("", sketch(""))
+    last: tuple[str, np.ndarray] = ("", sketch(""))
     for batch in batches:
-        ids, texts, nexts = (batch.column(k) for k in range(3))
-        n, sha, own, edited, near_e, near_n, part = ([] for _ in range(7))
-        for t, after in zip(texts.to_pylist(), nexts.to_pylist(), strict=True):
-            mine = last[1] if t == last[0] else sketch(t)
-            k = len(t) // 3
-            new = t[: len(t) - k] + after[:k]
-            other, theirs = sketch(new), sketch(after)
-            last = (after, theirs)  # rows come in order, so this is the next row's text
-            n.append(len(t))
-            sha.append(hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest())
-            own.append(to_string(mine))
-            edited.append(to_string(other))
-            near_e.append(likeness(mine, other))
-            near_n.append(likeness(mine, theirs))
-            part.append(containment(mine, other))
-        cols = [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (sha, own, edited)), *(pa.array(x, pa.float64()) for x in (near_e, near_n, part))]
-        yield pa.RecordBatch.from_arrays(cols, names=[batch.schema.names[0], "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited"])
+        for piece in stretches(batch, batch.schema.names[1], 1 << 20):
+            ids, texts, nexts = (piece.column(k) for k in range(3))
+            n, sha, own, edited, near_e, near_n, part = ([] for _ in range(7))
+            for t, after in zip(texts, nexts, strict=True):
+                t, after = t.as_py(), after.as_py()
+                mine = last[1] if t == last[0] else sketch(t)
+                k = len(t) // 3
+                new = t[: len(t) - k] + after[:k]
+                other, theirs = sketch(new), sketch(after)
+                last = (after, theirs)  # rows come in order, so this is the next row's text
+                n.append(len(t))
+                sha.append(hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest())
+                own.append(to_string(mine))
+                edited.append(to_string(other))
+                near_e.append(likeness(mine, other))
+                near_n.append(likeness(mine, theirs))
+                part.append(containment(mine, other))
+            cols = [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (sha, own, edited)), *(pa.array(x, pa.float64()) for x in (near_e, near_n, part))]
+            yield pa.RecordBatch.from_arrays(cols, names=[batch.schema.names[0], "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited"])
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's fingerprint, that of its edited text (the last third replaced by
     the beginning of the next document), and how alike they and the next one's are."""
     rows = with_next(docs, id_col, text_col)
-    schema = rows.select(id_col).schema.add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string")
-    for name in ("near_edited", "near_next", "contained_edited"):
-        schema = schema.add(name, "double")
+    schema = plus(rows.select(id_col), "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double")
     return rows.mapInArrow(_compare, schema)
