@@ -92,15 +92,12 @@ def op9_warc(spark, sf_dir):
 
     path = shared_path(spark, "warc")
     write_warc(with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0), path)
-    records = read_warc(spark, path)
-    whole = F.col("payload").isNotNull()
-    return records.select(
-        page_of(F.col("record_id")).cast("long").alias("page_id"),
-        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
-        F.when(whole, base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        page_of(F.col("refers_to")).cast("long").alias("refers_to"),
-    )
+    # Both filters are pushed to the source; of revisits it decodes heads only.
+    responses = read_warc(spark, path).filter("record_type = 'response'")
+    revisits = read_warc(spark, path, payload="false").filter("record_type = 'revisit'")
+    page = lambda c: page_of(F.col(c)).cast("long").alias("refers_to" if c == "refers_to" else "page_id")
+    whole = responses.select(page("record_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", page("refers_to"))
+    return whole.unionAll(revisits.select(page("record_id"), F.col("http_length").alias("payload_bytes"), "payload_digest", "record_type", page("refers_to")))
 
 
 @query

@@ -14,7 +14,9 @@ parsed first, and the block of a record that no filter wants is skipped, not dec
 
 Defined cases: a null payload is empty; a null id or URL has no header and reads back as
 null; rows that repeat one another in id and payload make a record each, all of one type;
-line breaks in header values become spaces.
+an empty table makes an archive of no records; very long payloads are whole; line breaks in
+header values become spaces; columns named as results are replaced, other columns aren't
+written.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from pyspark.sql.datasource import (
     StringStartsWith,
 )
 
+from hashloom.llm.shared import spread_join, written
+
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, payload_digest string, "
     "refers_to string, content_length long, http_length long, payload binary"
@@ -67,15 +71,15 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     record_type and refers_to (the id of the response that a revisit repeats)."""
     digested = pages.drop("record_type", "refers_to").withColumns({"payload": F.coalesce(F.col(payload_col).cast("string"), F.lit(""))})
     digested = digested.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload").cast("binary"))})
-    small = digested.select(F.col(id_col).alias("__id"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes"))
-    first = small.filter(F.col("__bytes") >= min_bytes).groupBy("__digest").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = small.join(first, "__digest").filter(~F.col("__id").eqNullSafe(F.col("__first"))).select("__id", "__digest", "__first").distinct()
-    # Joined by id, which spreads evenly, and not by digest, which may be hot.
-    same = digested[id_col].eqNullSafe(again["__id"]) & (digested["payload_digest"] == again["__digest"])
-    return digested.join(again, same, "left").select(
-        *[digested[c] for c in digested.columns],
-        F.when(F.col("__digest").isNull(), "response").otherwise("revisit").alias("record_type"),
-        F.col("__first").alias("refers_to"),
+    big = digested.filter(F.col("payload_bytes") >= min_bytes)
+    first = big.groupBy("payload_digest").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # A digest may be that of a third of all pages.
+    told = spread_join(digested, written(first, "digests"), ["payload_digest"], "n", [id_col])
+    again = F.col("__first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("__first"))
+    return told.select(
+        *digested.columns,
+        F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.when(again, F.col("__first")).alias("refers_to"),
     )
 
 
@@ -238,15 +242,19 @@ class WarcReader(DataSourceReader):
     def read(self, partition: WarcPartition) -> Iterator:
         import pyarrow as pa
 
-        names = [x.strip().split()[0] for x in SCHEMA.split(",")]
         types = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
         schema = pa.schema([(x.strip().split()[0], types[x.strip().split()[1]]) for x in SCHEMA.split(",")])
         system, path = _opened(partition.uri)
-        rows, held = {n: [] for n in names}, 0
         with system.open_input_stream(path, compression=None) as raw:
-            magic = raw.read(2)
-            raw_again = system.open_input_stream(path, compression=None)
-        stream = _Stream(raw_again, magic == b"\x1f\x8b")
+            gz = raw.read(2) == b"\x1f\x8b"
+        with system.open_input_stream(path, compression=None) as raw:
+            yield from self._batches(_Stream(raw, gz), schema)
+
+    def _batches(self, stream: _Stream, schema) -> Iterator:
+        import pyarrow as pa
+
+        names = schema.names
+        rows, held = {n: [] for n in names}, 0
         while (head := stream.until(b"\r\n\r\n")) is not None:
             if not (head := head.lstrip(b"\r\n")):
                 continue
@@ -280,7 +288,6 @@ class WarcReader(DataSourceReader):
                 rows, held = {n: [] for n in names}, 0
         if rows[names[0]]:
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
-        raw_again.close()
 
 
 class WarcSource(DataSource):

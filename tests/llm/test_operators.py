@@ -216,10 +216,10 @@ def test_fingerprints(spark):
         assert got[i].near_next == pytest.approx(likeness(sketch(t), sketch(after)))
     assert got[10].fingerprint == got[11].fingerprint and got[11].near_next == 1.0
     whole, part = sketch(long), sketch(" ".join(words[:900]))
-    assert containment(part, whole) > 0.99 and abs(containment(whole, part) - 0.3) < 0.06
+    assert containment(part, whole) > 0.99 and abs(containment(whole, part) - 0.3) < 0.04
     one, two = (sketch(" ".join(words[a:b])) for a, b in ((0, 1500), (1500, 3000)))
     assert likeness(merge(one, two), whole) > 0.97
-    assert np.array_equal(from_string(to_string(whole))[1], whole[1])
+    assert np.array_equal(from_string(to_string(whole)), whole)
     assert compare_with_next(empty(spark)).count() == 0
     odd = spark.createDataFrame([(None, "n"), (5, "a"), (5, "a"), (5, "b"), (7, None)], "doc_id long, text string")
     assert compare_with_next(odd).count() == 5
@@ -288,7 +288,8 @@ def test_warc(spark, tmp_path):
             assert got[i].record_type == "revisit" and got[i].payload is None and got[i].refers_to == f"<urn:page:{first[body]}>"
     assert got[0].target_uri is None and got[2].target_uri == "http://b X: y"
     only = read_warc(spark, f"file://{tmp_path}/w", payload="false").filter("record_type = 'revisit' and target_uri is not null")
-    assert "record_type" not in only._jdf.queryExecution().optimizedPlan().toString().split("RelationV2")[0].split("Filter")[-1] or only.count() == 3
+    plan = only._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and not re.search(r"(?<![A-Za-z])Filter[ (]", plan), plan
     assert only.count() == 3
     write_warc(with_revisits(df, min_bytes=5), f"file://{tmp_path}/x", compression="none")
     assert read_warc(spark, f"file://{tmp_path}/x").filter("record_type = 'revisit'").count() == 1
