@@ -100,3 +100,46 @@ def test_adjacent_mails(spark):
     got = {r.doc_id: r for r in pii.pseudonymize(df, "key").collect()}
     assert [got[i].n_entities for i in range(5)] == [3, 3, 3, 3, 2]
     assert not any(old in r.text for r in got.values() for old in ("anna@", "b.c@", "d@x.", ".b@"))
+
+
+def test_people_keep_apart_and_together(spark):
+    """Against brute force: one surrogate for each surname and form, none shared."""
+    given = [n for (_, script), ns in pii.GIVEN.items() if script == "latin" for n in ns]
+    surnames = [f"{a}{b}son" for a in ("Bar", "Cor", "Del", "Fen", "Gor", "Hal") for b in ("an", "el", "ik", "or", "um")]
+    texts = [f"Mrs {s} came" for s in surnames] + [f"{g} {s} came" for s in surnames[:4] for g in given] + [f"{given[i % 40]} {s} came" for i, s in enumerate(surnames)]
+    rows = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()
+    old = lambda t: re.fullmatch(r"(?:Mrs )?(?:(\w+) )?(\w+) came", t).groups()
+    new = lambda t: re.fullmatch(r"(?:Mrs )?(?:([\w-]+) )?(\w+) came", t).groups()
+    last, full = {}, {}
+    for r in rows:
+        (g, s), (g2, s2) = old(texts[r.doc_id]), new(r.text)
+        assert last.setdefault(s, s2) == s2 and full.setdefault((g, s), (g2, s2)) == (g2, s2)
+        if g:
+            women = set(pii.GIVEN["f", "latin"])
+            assert {x in women for x in g2.split("-")} == {g in women}
+    assert len(set(last.values())) == len(last) and not set(last.values()) & set(last)
+    assert len(set(full.values())) == len(full)
+
+
+def test_types_stay_valid(spark):
+    def luhn(n):
+        d = [int(x) for x in n][::-1]
+        return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+    rng = __import__("random").Random(3)
+    cards = []
+    while len(cards) < 40:
+        n = "4" + "".join(rng.choice("0123456789") for _ in range(15))
+        cards += [n] if luhn(n) else []
+    texts = cards + ["1700000000000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "10.0.0.5", "192.168.1.1", "172.20.3.4", "8.8.8.8", "a@mail.example.com", "b@mail.example.com", "+1 (042) 555-7845", "2001:db8:0:0:0:0:0:1"]
+    got = {texts[r.doc_id]: r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    assert all(luhn(got[c]) and got[c] != c and len(got[c]) == 16 for c in cards) and len({got[c] for c in cards}) == len(set(cards))
+    assert got["1700000000000"] == "1700000000000"
+    for c in texts[41:43]:
+        n = got[c].replace(" ", "")
+        assert n[:2] == c[:2] and got[c] != c and int("".join(str(int(x, 36)) for x in n[4:] + n[:4])) % 97 == 1
+    assert got["10.0.0.5"].startswith("10.") and got["192.168.1.1"].startswith("192.168.") and 16 <= int(got["172.20.3.4"].split(".")[1]) < 32
+    assert 240 <= int(got["8.8.8.8"].split(".")[0]) < 255
+    assert got["a@mail.example.com"].split("@")[1] == got["b@mail.example.com"].split("@")[1] != "mail.example.com"
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", got["+1 (042) 555-7845"])
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}(:[0-9a-f]){6}", got["2001:db8:0:0:0:0:0:1"])
