@@ -54,7 +54,7 @@ FREQUENT = 48  # documents from which a shingle goes to the end of the order
 FREQUENT_MAX = 1 << 19  # at most so many of them, the most frequent ones
 FILTER_BITS = range(16, 27)  # bits of the place of an id in a filter, by the number of ids
 STRETCH = 1 << 20
-CHUNK = 1024
+CHUNK = 512
 SMALL = 16
 ROUNDS, LEADERS = 2, 6
 
@@ -220,7 +220,9 @@ def signature(s: np.ndarray, width: int) -> np.ndarray:
 
 
 def width_of(n: int) -> int:
-    return max(64, 1 << (n - 1).bit_length())
+    """Eight bits or more for each hash: where few bits are hit twice the bound is near the
+    true overlap, so of a cloud of near copies few pairs pass that don't link."""
+    return 8 * max(64, 1 << (n - 1).bit_length())
 
 
 def fold(sig: np.ndarray, width: int) -> np.ndarray:
