@@ -44,6 +44,8 @@ from hashloom.llm.shared import forget, spread_join, written
 
 #: Tries of a surrogate before its format counts as full.
 TRIES = 60
+#: Tries from which a person gets two, three and four given names.
+NAMES = (3, 8, 16)
 
 # Given names by gender and script, and the titles that tell the gender.
 GIVEN = {
@@ -217,19 +219,21 @@ def _surname(key: str, form: Column, attempt: Column) -> Column:
 
 
 def _person(key: str, form: Column, sex: Column, surname: Column, attempt: Column) -> Column:
-    """Given name by gender and script, then the surname's surrogate.  The same given name
-    has the same surrogate but where that would make two persons one: then the next in the
-    list, and after a whole round double names."""
+    """Given names by gender and script, then the surname's surrogate.  The same given name
+    has the same surrogate but where that would make two persons one: then names are drawn
+    for that person at each try, from the tries in ``NAMES`` on two, three and four of them."""
     first = F.substring_index(form, " ", 1)
-    noise = _noise(key, F.lit("given"), F.lower(first), sex)
-    given = F
-    for (g, script), pool in GIVEN.items():
-        names = F.array(*map(F.lit, pool))
-        at = _nibbles(noise, F.lit(0)) + attempt
-        pick = F.element_at(names, F.pmod(at, F.lit(len(pool))) + 1)
-        other = F.element_at(names, F.pmod(at + F.floor(attempt / len(pool)).cast("int"), F.lit(len(pool))) + 1)
-        one = F.when(attempt >= len(pool), F.concat_ws("-", pick, other)).otherwise(pick)
-        given = given.when(_is(script, form) & ((sex == g) | ((sex == "") & (F.pmod(_nibbles(noise, F.lit(1)), F.lit(2)) == int(g == "m")))), one)
+    keyed = _noise(key, F.lit("given"), F.lower(first), sex)
+    drawn = _noise(key, F.lit("person"), form, sex, attempt)
+    pool = F
+    for (g, script), names in GIVEN.items():
+        mine = (sex == g) | ((sex == "") & (F.pmod(_nibbles(keyed, F.lit(1)), F.lit(2)) == int(g == "m")))
+        pool = pool.when(_is(script, form) & mine, F.array(*map(F.lit, names)))
+    n = F.size(pool)
+    at = _nibbles(F.when(attempt > 0, drawn).otherwise(keyed), F.lit(0))
+    # The others are not the first one again.
+    more = [F.when(attempt >= least, F.element_at(pool, F.pmod(at + 1 + F.pmod(_nibbles(drawn, F.lit(k)), n - 1), n) + 1)) for k, least in enumerate(NAMES, 1)]
+    given = F.concat_ws("-", F.element_at(pool, F.pmod(at, n) + 1), *more)
     return F.when(form.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
 
 
