@@ -19,8 +19,9 @@ task's work.
 
 Bitmaps.  Every candidate is first compared by signatures: a bit for each hash modulo the
 width, flipped by each member.  A differing bit needs a shingle that one set has alone, so
-the count of differing bits bounds the overlap from above.  Only documents of a pair that
-the bound lets pass have their sorted arrays shipped, for the exact intersection.
+the count of differing bits bounds the overlap from above.  A signature is folded to an
+eighth first; only pairs that the bound lets pass have the whole one shipped, and only those
+that it lets pass again their sorted arrays, for the exact intersection.
 
 Words are told apart by 64-bit hashes, and shingles by chained mixes of those; a collision
 of two among n distinct shingles has a chance of about n^2 / 2^65, in the sense that no
@@ -137,12 +138,14 @@ def _described(words: int, share: tuple[int, int], frequent):
         often = frequent.value
         for batch in batches:
             for ids, sets in _sets_of(batch, words):
-                sizes, keys, prefixes, sigs = [], [], [], []
+                sizes, keys, prefixes, sigs, thin = [], [], [], [], []
                 for s in sets:
                     n = len(s)
                     sizes.append(n)
                     keys.append(_key(s) if n else None)
-                    sigs.append(signature(s, width_of(n)).tobytes() if n else None)
+                    sig = signature(s, width_of(n)) if n else None
+                    sigs.append(sig.tobytes() if n else None)
+                    thin.append(fold(sig, width_of(n) // 8).tobytes() if n else None)
                     k = n - -(-share[0] * n // share[1]) + 1
                     if n and len(often):
                         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
@@ -151,8 +154,8 @@ def _described(words: int, share: tuple[int, int], frequent):
                         s = np.concatenate((first, s[is_often][: k - len(first)])) if len(first) < k else first
                     prefixes.append(s[:k].view(np.int64) if n else None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "n", "key", "prefix", "sig"],
+                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(thin, pa.binary())],
+                    names=["doc_id", "n", "key", "prefix", "sig", "thin"],
                 )
 
     return run
@@ -376,7 +379,11 @@ def _sides(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> Data
 
 def _settle(pairs: DataFrame, sigs: DataFrame, placed: DataFrame, words: int, share: tuple[int, int]) -> DataFrame | None:
     """The pairs (a, b) that link; None if there are none."""
-    may = written(_sides(pairs, sigs, ("n", "sig")).mapInArrow(_bounded(share), "a long, b long"), "may")
+    thin = sigs.select("rep", "n", F.col("thin").alias("sig"))
+    near = written(_sides(pairs, thin, ("n", "sig")).mapInArrow(_bounded(share), "a long, b long"), "near")
+    # A written table: where it is small, it is sent to the signatures and not they to it.
+    may = written(_sides(near, sigs, ("n", "sig")).mapInArrow(_bounded(share), "a long, b long"), "may")
+    forget(near)
     links = None
     if may.limit(1).count():
         ids = written(may.select(F.col("a").alias("rep")).unionAll(may.select("b")).distinct(), "ids")
@@ -397,12 +404,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     placed = rows.filter("doc_id is not null").withColumn("place", _place("doc_id"))
     frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, words))
-    told = written(rows.mapInArrow(_described(words, share, frequent), "doc_id long, n long, key binary, prefix array<long>, sig binary"), "described")
+    told = written(rows.mapInArrow(_described(words, share, frequent), "doc_id long, n long, key binary, prefix array<long>, sig binary, thin binary"), "described")
     some = told.filter("key is not null and doc_id is not null")
     # Equal sets have equal prefixes and signatures, so any will do.
-    any_of = [F.first(c).alias(c) for c in ("n", "prefix", "sig")]
+    any_of = [F.first(c).alias(c) for c in ("n", "prefix", "sig", "thin")]
     stand = written(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *any_of), "sets")
-    sigs = stand.select("rep", "n", "sig")
+    sigs = stand.select("rep", "n", "sig", "thin")
     by_shingle = stand.select(F.explode("prefix").alias("h"), "rep", "n").repartition("h").sortWithinPartitions("h")
     dealt = written(by_shingle.mapInArrow(_tiles(share), "a long, b long, h long, n long"), "tiles")
     links = [_settle(dealt.filter("h is null").select("a", "b").distinct(), sigs, placed, words, share)]
