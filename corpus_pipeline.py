@@ -37,12 +37,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the smallest id stays."""
-    groups = jaccard_components(docs.select("doc_id", "text"), words=5, share=(80, 100))
-    stays = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near duplicates (five words, 0.8) the smallest id stays, of rows that
+    repeat in id and text one; null ids stay."""
+    groups = jaccard_components(docs.select("doc_id", "text"), words=5, share=(80, 100)).filter("doc_id is not null")
+    # An id goes as a duplicate of a smaller one, or has several rows.
+    told = groups.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = written(told.filter("n > 1 or not stays").select("doc_id", "stays"), "marked")
     whole = docs.select(*COLUMNS)
-    one = whole.join(stays, "doc_id").withColumn("row", F.xxhash64("text")).dropDuplicates(["doc_id", "row"])
-    return one.select(*COLUMNS).unionAll(whole.filter(F.col("doc_id").isNull()))
+    # Only those rows travel, and all if ids of such rows are too many to be sent to the others.
+    one = whole.join(marked.filter("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return whole.join(marked.select("doc_id"), "doc_id", "left_anti").unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
