@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from hashloom.llm.merging import Pairs, merge_one, merge_words
-from hashloom.llm.shared import stretches
+from hashloom.llm.shared import released, stretches
 
 LONG, AT_ONCE, MEMO, STRETCH = 4096, 1 << 21, 150_000, 4 << 20
 #: The Unicode White_Space property.
@@ -224,7 +224,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", with
     schema = docs.drop(text_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    return docs.mapInArrow(_run(model, text_col, with_ids), schema)
+    return docs.mapInArrow(released(_run(model, text_col, with_ids)), schema)
 
 
 def decode_ids(ids: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.llm.shared import plus, stretches, utf8, written
+from hashloom.llm.shared import plus, released, stretches, utf8, written
 
 #: Bytes that part words become spaces; A-Z become a-z.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -230,7 +230,7 @@ def contamination(
 
     def scan(rows: DataFrame, items: list, keep_text: bool, hits_only: bool = False) -> DataFrame:
         schema = plus(rows if keep_text else rows.drop(text_col), "n_words long, starts array<long>, ends array<long>, items array<string>")
-        return rows.mapInArrow(_scan(items, words, text_col, keep_text, hits_only, batch_bytes), schema)
+        return rows.mapInArrow(released(_scan(items, words, text_col, keep_text, hits_only, batch_bytes)), schema)
 
     if n_blocks == 1:
         found = scan(docs, next(loaded), keep_text)

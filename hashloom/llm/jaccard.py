@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.components import components
-from hashloom.llm.shared import chained, forget, spread_join, stretches, utf8, word_hashes, written
+from hashloom.llm.shared import chained, forget, released, spread_join, stretches, utf8, word_hashes, written
 
 FREQUENT = 48  # documents from which a shingle goes to the end of the order
 FREQUENT_MAX = 1 << 19  # at most so many of them, the most frequent ones
@@ -111,7 +111,7 @@ def _repeated(words: int, at_once: int = 1 << 21):
 def frequent_shingles(rows: DataFrame, words: int) -> np.ndarray:
     """Sorted hashes of the most frequent shingles, at most FREQUENT_MAX (4 MB): whole
     classes of frequency, from the top."""
-    counts = written(rows.mapInArrow(_repeated(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "frequent")
+    counts = written(rows.mapInArrow(released(_repeated(words)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "frequent")
     by_size = counts.groupBy(F.floor(F.log2("n")).alias("size")).count().orderBy(F.desc("size")).collect()
     total, least = 0, None
     for size, n in by_size:
@@ -282,11 +282,18 @@ def _kept(batch, keep):
     return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def _slices(batches, rows: int = 512):
+    """Batches in slices, so that no more of them is Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _bounded(share: tuple[int, int]):
     """Pairs whose bitmaps let them pass."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             c = {k: batch.column(k).to_pylist() for k in ("na", "nb", "siga", "sigb")}
             keep = []
             for na, nb, sa, sb in zip(*c.values(), strict=True):
@@ -302,7 +309,7 @@ def _bounded(share: tuple[int, int]):
 
 def _verify(share: tuple[int, int]):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sets = zip(batch.column("seta").to_pylist(), batch.column("setb").to_pylist(), strict=True)
             yield _kept(batch, [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share) for x, y in sets])
 
@@ -380,17 +387,17 @@ def _sides(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> Data
 def _settle(pairs: DataFrame, sigs: DataFrame, placed: DataFrame, words: int, share: tuple[int, int]) -> DataFrame | None:
     """The pairs (a, b) that link; None if there are none."""
     thin = sigs.select("rep", "n", F.col("thin").alias("sig"))
-    near = written(_sides(pairs, thin, ("n", "sig")).mapInArrow(_bounded(share), "a long, b long"), "near")
+    near = written(_sides(pairs, thin, ("n", "sig")).mapInArrow(released(_bounded(share)), "a long, b long"), "near")
     # A written table: where it is small, it is sent to the signatures and not they to it.
-    may = written(_sides(near, sigs, ("n", "sig")).mapInArrow(_bounded(share), "a long, b long"), "may")
+    may = written(_sides(near, sigs, ("n", "sig")).mapInArrow(released(_bounded(share)), "a long, b long"), "may")
     forget(near)
     links = None
     if may.limit(1).count():
         ids = written(may.select(F.col("a").alias("rep")).unionAll(may.select("b")).distinct(), "ids")
         wanted, bits = _filter_of(ids)
         shared = placed.sparkSession.sparkContext.broadcast(wanted)
-        sets = written(placed.mapInArrow(_sets(words, shared, bits), "rep long, set binary"), "sets")
-        links = written(_sides(may, sets, ("set",)).mapInArrow(_verify(share), "a long, b long"), "links")
+        sets = written(placed.mapInArrow(released(_sets(words, shared, bits)), "rep long, set binary"), "sets")
+        links = written(_sides(may, sets, ("set",)).mapInArrow(released(_verify(share)), "a long, b long"), "links")
         for t in (sets, ids):
             forget(t)
         shared.unpersist()
@@ -404,14 +411,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     placed = rows.filter("doc_id is not null").withColumn("place", _place("doc_id"))
     frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, words))
-    told = written(rows.mapInArrow(_described(words, share, frequent), "doc_id long, n long, key binary, prefix array<long>, sig binary, thin binary"), "described")
+    told = written(rows.mapInArrow(released(_described(words, share, frequent)), "doc_id long, n long, key binary, prefix array<long>, sig binary, thin binary"), "described")
     some = told.filter("key is not null and doc_id is not null")
     # Equal sets have equal prefixes and signatures, so any will do.
     any_of = [F.first(c).alias(c) for c in ("n", "prefix", "sig", "thin")]
     stand = written(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *any_of), "sets")
     sigs = stand.select("rep", "n", "sig", "thin")
     by_shingle = stand.select(F.explode("prefix").alias("h"), "rep", "n").repartition("h").sortWithinPartitions("h")
-    dealt = written(by_shingle.mapInArrow(_tiles(share), "a long, b long, h long, n long"), "tiles")
+    dealt = written(by_shingle.mapInArrow(released(_tiles(share)), "a long, b long, h long, n long"), "tiles")
     links = [_settle(dealt.filter("h is null").select("a", "b").distinct(), sigs, placed, words, share)]
     band = F.floor(F.log("n") / math.log(share[1] / share[0]) + 1e-9).cast("int")
     large = dealt.filter("h is not null").select("h", F.col("b").alias("rep"), "n", band.alias("band"))
@@ -472,7 +479,7 @@ def _large(tiles: DataFrame, links: list[DataFrame | None], sigs: DataFrame, pla
     i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("h", "band", i.alias("i"), j.alias("j"), "own", "rep", "comp", "n", "sig", "chunk")
     spread = dealt.repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
-    pairs = written(spread.mapInArrow(_tile_pairs(share), "a long, b long").distinct(), "pairs")
+    pairs = written(spread.mapInArrow(released(_tile_pairs(share)), "a long, b long").distinct(), "pairs")
     links.append(_settle(pairs, sigs, placed, words, share))
     for t in (pairs, now):
         forget(t)

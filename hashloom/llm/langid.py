@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hashloom.llm.shared import plus, stretches, word_hashes
+from hashloom.llm.shared import plus, released, stretches, word_hashes
 
 BITS, GRAMS, CHUNK = 16, (2, 3, 4, 5), 32
 UND = "und"
@@ -280,7 +280,7 @@ def identify(docs: DataFrame, crf: Crf | None, text_col: str = "text", keep_text
     docs = docs.drop("lang_pred", "score", "n_switches")
     out = docs if keep_text else docs.drop(text_col)
     schema = plus(out, "lang_pred string, score double, n_switches long")
-    return docs.withColumn("__letter", has_letter(F.col(text_col))).mapInArrow(_run(crf, text_col, keep_text, batch_bytes), schema)
+    return docs.withColumn("__letter", has_letter(F.col(text_col))).mapInArrow(released(_run(crf, text_col, keep_text, batch_bytes)), schema)
 
 
 def label_words(text: str, crf: Crf) -> list[tuple[str, str, float]]:

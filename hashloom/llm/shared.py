@@ -104,6 +104,26 @@ def stretches(batch, text_col: str, held_bytes: int) -> Iterator:
         at = upto
 
 
+def released(run):
+    """The batch function, after which its worker gives what it has freed back to the system:
+    Spark keeps idle workers, and each would hold as much as its largest task took."""
+
+    def out(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return out
+
+
 # -- hashes in numpy --------------------------------------------------------------------
 
 #: Words up to this length are hashed in numpy, longer ones by BLAKE2.

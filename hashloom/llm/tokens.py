@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.merging import NONE, Pairs, merge_one, merge_words
-from hashloom.llm.shared import stretches
+from hashloom.llm.shared import released, stretches
 
 MARK = "▁"  # stands for a space
 #: Words longer than this go through the heap; others through the index, so many symbols at once.
@@ -159,7 +159,7 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit
     model = PieceModel(model_path)
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     schema = docs.drop(text_col).schema.add("n_bytes", "long").add("n_tokens", "long")
-    return docs.mapInArrow(_run(model, text_col), schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.mapInArrow(released(_run(model, text_col)), schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 __all__ = ["NONE", "PieceModel", "Merger", "count_tokens", "pretokens"]
