@@ -19,6 +19,8 @@ from hashloom.llm.shared import table, written
 
 #: A text stays if its language is known with at least this mean marginal.
 MIN_SCORE = 0.4
+#: Bytes of a batch sent to Python: both sides hold it, for each core of an executor.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -75,8 +77,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    before = spark.conf.get(BATCH_KEY, None)
+    spark.conf.set(BATCH_KEY, BATCH_BYTES)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.unset(BATCH_KEY) if before is None else spark.conf.set(BATCH_KEY, before)
     return docs
 
 
