@@ -148,3 +148,20 @@ def op1_pii_surrogates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pseudonymize(docs, key="production-key-from-a-secret-store")
     return found.select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query
+def op11_mixing(spark, sf_dir):
+    from hashloom.llm.mixing import cycled, mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, cycled((1, 2, 3)), share=1.0, repeats=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixing_sql() -> str:
+    from hashloom.llm.mixing import ORACLE as sql
+
+    return sql
+
+
+ORACLE["op11_mixing"] = _mixing_sql()
