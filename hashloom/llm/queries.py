@@ -165,3 +165,26 @@ def _mixing_sql() -> str:
 
 
 ORACLE["op11_mixing"] = _mixing_sql()
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    from hashloom.llm.merkle import folded, manifest, proof_sha256
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = manifest(docs, fields, changed=[*map(F.col, fields[:4]), F.when(hit, lower).otherwise(F.col("text"))])
+    root = folded(F.coalesce("now", "leaf"), F.col("path"))
+    rows = found.select("doc_id", "leaf", "subroot", "root", proof_sha256(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql() -> str:
+    from hashloom.llm.merkle import oracle
+
+    return oracle()
+
+
+ORACLE["op13_merkle"] = _merkle_sql()
