@@ -188,3 +188,21 @@ def _merkle_sql() -> str:
 
 
 ORACLE["op13_merkle"] = _merkle_sql()
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    from hashloom.llm.hardneg import mine, quantized
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), quantized(F.col("embedding"), 256).alias("vector"))
+    return mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, window=(30, 90))
+
+
+def _negatives_sql() -> str:
+    from hashloom.llm.hardneg import ORACLE as sql
+
+    return sql
+
+
+ORACLE["op12_hard_negatives"] = _negatives_sql()
