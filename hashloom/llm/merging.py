@@ -122,6 +122,7 @@ def merge_words(sym: np.ndarray, lengths: np.ndarray, pairs: Pairs) -> tuple[np.
         if not at.size:
             continue
         if len(at) > 1:
+            every = at
             near = nxt[at[:-1]] == at[1:]  # the next occurrence shares a symbol
             if near.any():
                 run = np.arange(len(at))
@@ -145,11 +146,14 @@ def merge_words(sym: np.ndarray, lengths: np.ndarray, pairs: Pairs) -> tuple[np.
                 other[1:] |= (t[:-1] == x[1:]) & (made[:-1] != made[1:])
                 cut = word[x[(low <= r) | other]]
                 if cut.size:
+                    # All other places of these words wait, also those that shared a symbol with
+                    # one taken: after one merge another of them may come first.
+                    slow = np.zeros(len(lengths), bool)
+                    slow[cut] = True
                     first = np.r_[True, ~same]
-                    drop = np.isin(word[at], cut) & ~first
-                    put_back = at[drop]
-                    at = at[~drop]
-                    index[r] = [put_back]
+                    at = at[first | ~slow[word[at]]]
+                    waits = every[slow[word[every]]]
+                    index[r] = [np.setdiff1d(waits, at, assume_unique=True)]
                     heapq.heappush(heap, r)
         q = nxt[at]
         t = nxt[q]

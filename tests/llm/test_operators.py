@@ -59,20 +59,52 @@ def test_bpe_round_trip(spark):
     assert encode_decode(empty(spark), path).count() == 0
 
 
-def test_merging_equals_the_heap():
+def merges(rng, letters):
+    """A valid vocabulary: each merge joins known tokens, and several may give one product."""
+    tokens, rows = list("abcd"[:letters]), {}
+    for _ in range(rng.randrange(3, 16)):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if len(a + b) <= 14 and (a, b) not in rows:
+            rows[a, b] = len(rows)
+            tokens += [a + b] * (a + b not in tokens)
+    return tokens, rows
+
+
+def test_merging_equals_the_heap_and_the_library():
+    from tokenizers import Tokenizer, models
+
+    from hashloom.llm.merging import Pairs, merge_one, merge_words
+
+    rng = random.Random(3)
+    for k in range(400):
+        tokens, rows = merges(rng, 1 + k % 4)
+        if k == 0:  # places of a run that were passed over begin a product later
+            rows = {p: r for r, p in enumerate([("a", "a"), ("a", "aa"), ("aaa", "a"), ("aaaa", "aa"), ("aaaaaa", "aaa"), ("aaaa", "a"), ("a", "aaaaaaaaa"), ("aa", "aa"), ("a", "aaa")])}
+            tokens = list(dict.fromkeys(["a", *(a + b for a, b in rows)]))
+        ids = {t: i for i, t in enumerate(tokens)}
+        table = {(ids[a], ids[b]): (r, ids[a + b]) for (a, b), r in rows.items()}
+        pairs = Pairs(*zip(*[(a, b, r, n) for (a, b), (r, n) in table.items()], strict=True))
+        words = [[rng.randrange(1 + k % 4) for _ in range(rng.randrange(0, 61))] for _ in range(60)] + [[0] * 31]
+        flat, n = merge_words(np.array([x for w in words for x in w], np.int32), np.array(list(map(len, words))), pairs)
+        want = [merge_one(w, table) for w in words]
+        assert n.tolist() == list(map(len, want)) and flat.tolist() == [x for w in want for x in w]
+        if k % 8 == 0:
+            library = Tokenizer(models.BPE(vocab=ids, merges=list(rows)))
+            assert [library.encode("".join("abcd"[x] for x in w)).ids for w in words if w] == [w for w in want if w]
+
+
+def test_merging_of_products_of_any_rank():
     from hashloom.llm.merging import Pairs, merge_one, merge_words
 
     rng = random.Random(3)
     for _ in range(60):
-        # Products of other splits may have any rank, so merges aren't in order.
         rows = {}
         for new in range(4, 14):
             rows[rng.randrange(new), rng.randrange(new)] = (rng.randrange(8), new)
-        table = dict(rows)
         pairs = Pairs(*zip(*[(a, b, r, n) for (a, b), (r, n) in rows.items()], strict=True))
         words = [[rng.randrange(4) for _ in range(rng.randrange(0, 14))] for _ in range(40)]
         flat, n = merge_words(np.array([x for w in words for x in w], np.int32), np.array(list(map(len, words))), pairs)
-        want = [merge_one(w, table) for w in words]
+        want = [merge_one(w, rows) for w in words]
         assert n.tolist() == list(map(len, want)) and flat.tolist() == [x for w in want for x in w]
 
 
