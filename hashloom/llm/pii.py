@@ -2,8 +2,11 @@
 
 Detection.  One pattern finds e-mail addresses, IPv4 and IPv6 addresses, phone numbers,
 IBANs, social security numbers, payment cards, access tokens, and persons (a title or a
-known given name, then capitalised names; a name with neither isn't found).  What each
-match is follows from which single pattern it fits.  A card number must satisfy its check
+known given name, then up to ``MORE_NAMES`` more capitalised names, of which the last is
+the surname; a name with neither isn't found, nor are initials or names all in capitals).
+What each match is follows from which single pattern it fits.  Lengths are bounded, so no
+text can exhaust a stack or take more than linear time: an e-mail address has at most 256
+characters before the @ and 255 of a host after it, a name 61 letters, a token 255.  A card number must satisfy its check
 digit (Luhn); other runs of digits are left alone.
 
 Surrogates.  Every entity has a canonical form (an e-mail or a hexadecimal token in lower
@@ -64,20 +67,23 @@ SYLLABLES = {
     "cyrillic": ["ба", "бел", "вор", "гал", "дан", "жар", "зим", "кор", "лин", "мар", "нов", "пел", "рос", "сен", "тол", "чер"],
 }
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Names after a title's first one or a given name, and letters after a name's first, at most.
+MORE_NAMES, LETTERS = 3, 60
+_NAME = rf"\p{{Lu}}[\p{{L}}'’-]{{1,{LETTERS}}}+"
 _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
+# No pattern repeats a group without bound: Java would go down a level for each repetition.
 PATTERNS = {
     # Also where the last match ended, as its end is all that stands before an adjacent one.
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,256}@[A-Za-z0-9-][A-Za-z0-9.-]{0,254}\.[A-Za-z]{2,63}",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]\d|\d)",
     "ipv6": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5}::[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:.])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     # Before IBANs: 32 to 35 hex digits in upper case may look like one.
-    "token": r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32,64}|AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{32,64}|AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{30,255}|sk-[A-Za-z0-9]{20,255})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
-    "person": rf"(?<![\p{{L}}\d])(?:(?:{_TITLE})\.?[ ]{_NAME}(?:[ ]{_NAME})?|(?:{_GIVEN})[ ]{_NAME})(?!\p{{L}})",
+    "person": rf"(?<![\p{{L}}\d])(?:(?:{_TITLE})\.?[ ]{_NAME}(?:[ ]{_NAME}){{0,{MORE_NAMES}}}|(?:{_GIVEN})(?:[ ]{_NAME}){{1,{MORE_NAMES}}})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What each match has: cheap to look for before the patterns are tried.
@@ -234,7 +240,10 @@ def _person(key: str, form: Column, sex: Column, surname: Column, attempt: Colum
     # The others are not the first one again.
     more = [F.when(attempt >= least, F.element_at(pool, F.pmod(at + 1 + F.pmod(_nibbles(drawn, F.lit(k)), n - 1), n) + 1)) for k, least in enumerate(NAMES, 1)]
     given = F.concat_ws("-", F.element_at(pool, F.pmod(at, n) + 1), *more)
-    return F.when(form.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
+    # Each name between has a given name of its own.
+    names = F.split(form, " ")
+    between = F.transform(F.slice(names, F.lit(2), F.greatest(F.size(names) - 2, F.lit(0))), lambda w: F.element_at(pool, F.pmod(_nibbles(_noise(key, F.lit("given"), F.lower(w), sex), F.lit(0)), n) + 1))
+    return F.when(form.contains(" "), F.concat_ws(" ", given, F.array_join(F.when(F.size(between) > 0, between), " "), surname)).otherwise(surname)
 
 
 def _ipv4(key: str, form: Column, attempt: Column) -> Column:

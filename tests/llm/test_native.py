@@ -39,6 +39,29 @@ def test_surrogates(spark):
     assert pii.pseudonymize(df.limit(0), "key").count() == 0
 
 
+#: Texts that repeat what a pattern may repeat, as often as a megabyte holds.
+HARD = ["x@" + "a." * 500_000 + "com", "x@" + "a." * 8000 + "com", "a." * 500_000 + "@b.org", "a@" * 500_000, "1." * 500_000, "+1" + " 12" * 300_000, "(111) 111-1111" * 70_000, "AB12 " * 200_000,
+        "GB12" + " ABCD" * 200_000, "ab:" * 300_000, "a:b::" * 200_000, "1-" * 500_000, "4111 " * 200_000, "9" * 1_000_000, "f" * 1_000_000, "ghp_" + "a" * 1_000_000, "sk-" * 300_000,
+        "Mr " + "Aa " * 300_000, "Mr A" + "a" * 1_000_000, "Anna " * 200_000, "Анна " * 200_000]
+
+
+def test_no_text_is_too_hard(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(HARD)] + [(99, "Mail x@a.org")], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.text for r in pii.pseudonymize(df, "key").collect()}
+    assert len(got) == len(HARD) + 1 and "x@a.org" not in got[99] and all(got.values())
+
+
+def test_persons_of_many_names(spark):
+    texts = ["Anna Maria Smith met Smith.", "Dr. José María García López came", "Mrs Smith, Miss Anna Maria de", "Mr Smith " + "A" + "a" * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymize(df, "key").collect()}
+    first = re.fullmatch(r"(\w+) (\w+) (\w+) met Smith\.", got[0])
+    assert first and first[1] in pii.GIVEN["f", "latin"] and first[2] in pii.GIVEN["f", "latin"] and first[3] != "Smith"
+    assert re.fullmatch(r"Dr\. \w+ \w+ \w+ \w+ came", got[1]) and not re.search("García|López|María", got[1])
+    # One surname has one surrogate, however many names stand before it.
+    assert got[2].startswith(f"Mrs {first[3]}, Miss ") and got[3].startswith(f"Mr {first[3]} Aaa")
+
+
 def test_surrogates_stay_distinct(spark):
     from hashloom.llm.shared import written
 
