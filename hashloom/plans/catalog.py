@@ -6,15 +6,16 @@ the SHA-1 of its order keys, R2 (words) is the words of all documents, A1 is gen
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.functions import families as fam
 from hashloom.functions import params
 from hashloom.functions.u64 import fast_range32, splitmix64
-from hashloom.operators import exact, metrics, sketches
+from hashloom.operators import exact, metrics, sketches, states
 from hashloom.plans import experiments, sql
-from hashloom.sources import datasets, extract
+from hashloom.sources import binary, datasets, extract
 from hashloom.sources.shared import shared_path
 
 QUERIES, ORACLE = {}, {}
@@ -151,14 +152,15 @@ for _name in fam.U32:
     _sketch_queries(_name)
 
 
-def _r1_sql(name: str) -> str:
+def _r1_sql(name: str, seed: int = SEED, source: str = R1_SQL, keep: str = "") -> str:
+    """Of (key, hexed); ``keep`` names more columns, each with a comma after it."""
     if name == "RapidHash32":
-        return sql.rapid20(R1_SQL, SEED)
-    ms = f"SELECT hexed AS id, {sql.ms_vector20('hexed', SEED)} AS key FROM ({R1_SQL})"
+        return sql.rapid20(source, seed, keep)
+    ms = f"SELECT {keep}hexed AS id, {sql.ms_vector20('hexed', seed)} AS key FROM ({source})"
     if name == "MSVec":
-        return f"SELECT id AS key, key AS h FROM ({ms})"
+        return f"SELECT {keep}id AS key, key AS h FROM ({ms})"
     inner = "SimpleTab32" if name == "TabOnMSVec" else f"TornadoTab32D{name[-1]}"
-    return f"SELECT id AS key, h FROM ({sql.u32(inner, ms, SEED, 'id, ')})"
+    return f"SELECT {keep}id AS key, h FROM ({sql.u32(inner, ms, seed, 'id, ' + keep)})"
 
 
 def _r1_query(name: str):
@@ -228,9 +230,10 @@ def hash_row_and_range(spark, sf_dir):
     return a2(spark, sf_dir).distinct().select("key", h.alias("h"), fast_range32(h, 1000).alias("bucket"))
 
 
-@query("hash_fnv1a32")
+@query("hash_fnv1a32", f"SELECT key, CAST(list_reduce([CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT) FOR i IN range(0, length(hx) // 2)], lambda h, c: xor(h, c) * 16777619 % 4294967296, 2166136261) AS BIGINT) AS h FROM (SELECT DISTINCT key, hex(encode(key)) AS hx FROM ({R2_SQL}))")
 def hash_fnv1a32(spark, sf_dir):
-    return r2(spark, sf_dir).distinct().select(F.decode("key", "UTF-8").alias("key"), fam.fnv1a32(F.col("key")).alias("h"))
+    # In one step, the lambda's "key" would be the decoded string beside it.
+    return r2(spark, sf_dir).distinct().withColumn("h", fam.fnv1a32(F.col("key"))).select(F.decode("key", "UTF-8").alias("key"), "h")
 
 
 @query("collisions", f"WITH h AS ({sql.u32('MultShift', A2_DISTINCT_SQL, SEED)}), p AS (SELECT h >> 16 AS g, count(*) AS n FROM h GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_keys, count(*) AS n_hashes, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS n_colliding FROM p")
@@ -348,6 +351,16 @@ def pool_stream(spark, sf_dir):
     return datasets.sample_stream(datasets.pool(orders, ["o_orderkey"], POOL), STREAM, SEED).select("pos", "key")
 
 
+@query("binary_pool", POOL_SQL)
+def binary_pool(spark, sf_dir):
+    """The same with the pool written as a binary file and read back in byte ranges."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey")
+    path = shared_path(spark, "pool")
+    binary.write_u32(orders, path, ["o_orderkey"])
+    pool = binary.read_u32(spark, path, range_bytes=1 << 16).filter(F.col("idx") < POOL)
+    return datasets.sample_stream(pool, STREAM, SEED).select("pos", "key")
+
+
 @query("entropy", f"SELECT range AS pos, ({sql.splitmix64(f'xor(range::UBIGINT, {params.draw(SEED, "entropy")}::UBIGINT)')} >> 32)::BIGINT AS value FROM range({STREAM})")
 def entropy(spark, sf_dir):
     return datasets.random_values(spark, STREAM, SEED, 32)
@@ -503,7 +516,18 @@ def accuracy_countmin_a2(spark, sf_dir):
     return rounded(experiments.count_min_accuracy(a2(spark, sf_dir), "key", ALL_U32, FULL_WIDTH, DEPTH, REPS))
 
 
-@query("accuracy_countmin_r1")
+R1_FREQ_SQL = "SELECT sha1(CAST(l_orderkey AS VARCHAR)) AS key, sha1(CAST(l_orderkey AS VARCHAR)) AS hexed, count(*) AS freq FROM lineitem GROUP BY l_orderkey"
+
+
+def _cm_r1_rep(name: str, rep: int) -> str:
+    """One hash of the family, then a row hash for each row."""
+    h = f"SELECT hexed, freq, h FROM ({_r1_sql(name, params.draw(1, 'rep', rep), R1_FREQ_SQL, 'freq, ')}) AS x(freq, hexed, h)"
+    row = lambda r: sql.row_hash("h", *(params.draw(1, f"row_{x}", rep * DEPTH + r) for x in "ab"))
+    cells = " UNION ALL ".join(f"SELECT hexed AS key, freq, {r} AS r, {sql.fast_range32(row(r), FULL_WIDTH)} AS c FROM h" for r in range(DEPTH))
+    return f"SELECT '{name}' AS function, {rep} AS rep, round(avg((est - freq) / freq::DOUBLE), 8) AS relerr FROM (WITH h AS MATERIALIZED ({h}) SELECT key, any_value(freq) AS freq, min(cnt) AS est FROM (SELECT key, freq, sum(freq) OVER (PARTITION BY r, c) AS cnt FROM ({cells})) GROUP BY key)"
+
+
+@query("accuracy_countmin_r1", " UNION ALL ".join(_accuracy_sql(n, REPS, _cm_r1_rep) for n in fam.byte_families()))
 def accuracy_countmin_r1(spark, sf_dir):
     return rounded(experiments.count_min_accuracy(r1(spark, sf_dir), "key", ALL_R1, FULL_WIDTH, DEPTH, REPS, direct=False))
 
@@ -525,15 +549,25 @@ def r1_sided(spark, sf_dir):
 
 
 def r2_sided(spark, sf_dir):
-    """Words by halves of the documents."""
-    words = datasets.words(table(spark, sf_dir, "documents"))
-    return words.select(F.encode("word", "UTF-8").alias("key"), (F.col("doc_id") % 2).cast("int").alias("side"))
+    """Words, and on which side of the middle position they are."""
+    words = datasets.halved_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return words.select(F.encode("word", "UTF-8").alias("key"), "side")
+
+
+@query("split_words", rf"WITH w AS (SELECT w, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS ws FROM documents)) WHERE w <> '') SELECT CAST(pos >= (SELECT count(*) FROM w) // 2 AS INTEGER) AS side, count(*) AS n, count(DISTINCT w) AS n_distinct FROM w GROUP BY 1")
+def split_words(spark, sf_dir):
+    return r2_sided(spark, sf_dir).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_distinct"))
 
 
 ALL_BYTES = list(fam.byte_families().values())
 
 
-@query("accuracy_bottomk_r1")
+def _bk_r1_rep(name: str, rep: int) -> str:
+    h = _r1_sql(name, params.draw(1, "rep", rep))
+    return f"SELECT '{name}' AS function, {rep} AS rep, round((estimate - n_distinct) / n_distinct, 8) AS relerr FROM ({_bottom_k_sql(h, FULL_K, 'SELECT count(DISTINCT l_orderkey) AS n_distinct FROM lineitem')})"
+
+
+@query("accuracy_bottomk_r1", " UNION ALL ".join(_accuracy_sql(n, REPS, _bk_r1_rep) for n in fam.byte_families()))
 def accuracy_bottomk_r1(spark, sf_dir):
     return rounded(experiments.bottom_k_accuracy(r1(spark, sf_dir), "key", ALL_BYTES, FULL_K, REPS))
 
@@ -563,6 +597,40 @@ def accuracy_oph_r2(spark, sf_dir):
     return rounded(experiments.oph_accuracy(r2_sided(spark, sf_dir), "key", ALL_BYTES, BINS, REPS))
 
 
+# -- sketches as values ----------------------------------------------------------------------
+
+
+_FLAG_SQL = sql.u32("MultShift", "SELECT DISTINCT l_returnflag, l_partkey AS key FROM lineitem", SEED, "l_returnflag, ")
+
+
+@query("state_bottomk", f"""
+WITH h AS ({_FLAG_SQL}), s AS (SELECT DISTINCT l_returnflag, h FROM h QUALIFY dense_rank() OVER (PARTITION BY l_returnflag ORDER BY h) <= {K})
+SELECT l_returnflag, round(CASE WHEN count(*) < {K} THEN count(*) WHEN max(h) = 0 THEN CAST('inf' AS DOUBLE) ELSE {K - 1} / (max(h)::DOUBLE / 4294967296.0) END, 6) AS estimate, bit_xor(h) AS state_xor FROM s GROUP BY 1""")
+def state_bottomk(spark, sf_dir):
+    """States by flag and day of the month, as a table of them would be kept, merged by flag."""
+    sketch = states.BottomK(K)
+    rows = fam.U32["MultShift"].apply(table(spark, sf_dir, "lineitem"), "l_partkey", "h", SEED)
+    daily = states.build(rows.withColumn("day", F.dayofmonth("l_shipdate")), sketch, "h", ["l_returnflag", "day"])
+    merged = states.merge(daily, sketch, ["l_returnflag"])
+    xor = states.measure(F.col("state"), lambda s: float(np.bitwise_xor.reduce(s)), sketch)
+    return merged.select("l_returnflag", F.round(states.estimate(F.col("state"), sketch), 6).alias("estimate"), xor.cast("long").alias("state_xor"))
+
+
+@query("state_oph", f"""
+WITH h AS ({_FLAG_SQL}), b AS (SELECT l_returnflag AS f, {sql.fast_range32('h', BINS)} AS bin, min(h) AS m FROM h GROUP BY ALL),
+g AS (SELECT DISTINCT f FROM b), p AS (SELECT x.f AS a, y.f AS b FROM g x, g y WHERE x.f < y.f)
+SELECT p.a, p.b, round(count(*) FILTER (WHERE x.m = y.m) / count(*), 8) AS jaccard
+FROM p, range({BINS}) r LEFT JOIN b x ON x.f = p.a AND x.bin = r.range LEFT JOIN b y ON y.f = p.b AND y.bin = r.range
+WHERE x.m IS NOT NULL OR y.m IS NOT NULL GROUP BY 1, 2""")
+def state_oph(spark, sf_dir):
+    """The similarity of the parts of each two flags, from one state for each flag."""
+    sketch = states.OnePermutation(BINS)
+    rows = fam.U32["MultShift"].apply(table(spark, sf_dir, "lineitem"), "l_partkey", "h", SEED)
+    one = states.build(rows, sketch, "h", ["l_returnflag"]).withColumnRenamed("l_returnflag", "a")  # a row for each flag
+    two = one.withColumnsRenamed({"a": "b", "state": "other"})
+    return one.join(two, F.col("a") < F.col("b")).select("a", "b", F.round(states.compare(F.col("state"), F.col("other"), sketch.jaccard, sketch), 8).alias("jaccard"))
+
+
 # -- streaming (an extension) ----------------------------------------------------------------
 
 
@@ -577,3 +645,15 @@ def stream_countmin(spark, sf_dir):
 
     stream = fam.U32["MultShift"].apply(_events(spark, sf_dir), "user_id", "h", SEED)
     return settled(count_min_windows(stream, "ts", [("h", None)], 64, "1 day", "1 hour"), shared_path(spark, "stream"), shared_path(spark, "state"))
+
+
+@query("stream_oph", f"""
+WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
+e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, {sql.multiply_shift('user_id', SEED)} AS h FROM events)
+SELECT start, {sql.fast_range32('h', 64)} AS bin, min(h) AS minhash FROM e, w WHERE start + INTERVAL 1 DAY <= mark GROUP BY ALL""")
+def stream_oph(spark, sf_dir):
+    """Windows that the watermark has closed; those still open are state, not result."""
+    from hashloom.streaming.sketch_streams import appended, oph_windows
+
+    stream = fam.U32["MultShift"].apply(_events(spark, sf_dir), "user_id", "h", SEED)
+    return appended(oph_windows(stream, "ts", "h", 64, "1 day", "1 hour"), shared_path(spark, "stream"), shared_path(spark, "state"))

@@ -82,13 +82,13 @@ def ms_vector20(hexed: str, seed: int) -> str:
     return f"((({total}) % {TWO64}) // 4294967296::UHUGEINT)::BIGINT"
 
 
-def rapid20(source: str, seed: int) -> str:
+def rapid20(source: str, seed: int, keep: str = "") -> str:
     """Of (key, hexed), keys of 20 bytes."""
     s = seeded(params.draw(seed, "rapid"), 20)
-    mixed = f"SELECT key, hexed, {wide(f'xor({le_word("hexed", 0, 8)}, {SECRET[2]}::UBIGINT)')} * {wide(f'xor({le_word("hexed", 8, 8)}, {(s ^ SECRET[1]) & M64}::UBIGINT)')} AS m FROM ({source})"
-    start = f"SELECT key, hexed, xor({low64('m')}, {high64('m')}) AS s FROM ({mixed})"
-    one = f"SELECT key, {wide(f'xor({le_word("hexed", 4, 8)}, {SECRET[1]}::UBIGINT)')} * {wide(f'xor({le_word("hexed", 12, 8)}, s)')} AS p FROM ({start})"
-    return _finish(one, "", 20)
+    mixed = f"SELECT {keep}key, hexed, {wide(f'xor({le_word("hexed", 0, 8)}, {SECRET[2]}::UBIGINT)')} * {wide(f'xor({le_word("hexed", 8, 8)}, {(s ^ SECRET[1]) & M64}::UBIGINT)')} AS m FROM ({source})"
+    start = f"SELECT {keep}key, hexed, xor({low64('m')}, {high64('m')}) AS s FROM ({mixed})"
+    one = f"SELECT {keep}key, {wide(f'xor({le_word("hexed", 4, 8)}, {SECRET[1]}::UBIGINT)')} * {wide(f'xor({le_word("hexed", 12, 8)}, s)')} AS p FROM ({start})"
+    return _finish(one, keep, 20)
 
 
 def splitmix64(x: str) -> str:

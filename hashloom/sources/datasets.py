@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.params import draw
 from hashloom.functions.u64 import fast_range32, signed, splitmix64
+from hashloom.operators.positions import running
+from hashloom.sources.shared import written
 
 #: Sizes of the pools and of the streams drawn from them.
 POOL_N, STREAM_N = 250_000, 500_000
+#: So many narrow rows at most are sent to all tasks.
+SENT = 1 << 21
 A2_SPLIT_SEED = 0xA5A5A5A5A5A5A5A5
 
 
@@ -86,14 +90,42 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_col, F.posexplode(parts).alias("i", "word"))
 
 
+def _words_of(text_col: str) -> Column:
+    return F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
+
+
 def first_words(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(pos, word): the first n words of all texts in order of id.  They lie in the first n
-    texts that have a word, so the running count sees no more than n rows."""
-    parts = F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != "")
-    some = docs.select(id_col, parts.alias("ws")).filter(F.size("ws") > 0).orderBy(id_col).limit(n)
-    before = F.sum(F.size("ws")).over(Window.orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1))
-    placed = some.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < n)
-    return placed.select((F.col("before")).alias("b"), F.posexplode("ws").alias("i", "word")).select((F.col("b") + F.col("i")).cast("long").alias("pos"), "word").filter(F.col("pos") < n)
+    """(pos, word): the first n words of all texts in order of id (equal ids: of their
+    texts' hashes).  Only (id, hash, number of words) is put in order and added up, range by
+    range; no more than the texts that hold the first n words travel."""
+    wanted = {"__id": F.col(id_col), "__h": F.xxhash64(text_col), "__n": F.size(_words_of(text_col))}
+    sizes = docs.select(*[c.alias(name) for name, c in wanted.items()]).filter("__n > 0")
+    placed = written(running(sizes, ["__id", "__h"], "__n", before="__before").filter(F.col("__before") < n), "placed")
+    # No more than n rows, as each has a word.
+    sent = F.broadcast if n <= SENT else lambda df: df
+    on = lambda a, b: a["__id"].eqNullSafe(b["__other"]) & (a["__h"] == b["__hash"])
+    named = placed.select(F.col("__id").alias("__other"), F.col("__h").alias("__hash"), "__before")
+    texts = docs.select(wanted["__id"].alias("__id"), wanted["__h"].alias("__h"), F.col(text_col).alias("__text"))
+    texts = texts.join(sent(named.select("__other", "__hash").distinct()), on(texts, named), "left_semi").dropDuplicates(["__id", "__h"])
+    each = texts.join(sent(named), on(texts, named)).select("__before", F.posexplode(_words_of("__text")).alias("__i", "word"))
+    return each.select((F.col("__before") + F.col("__i")).cast("long").alias("pos"), "word").filter(F.col("pos") < n)
+
+
+def halved_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, i, word, side): all words, side 0 before the middle position of all texts in
+    order of id and 1 from there.  The middle lies in one text, found by running totals;
+    texts before it and after it are on one side whole, and no word needs its position.
+    Rows alike in id and text are parted where the first of them is."""
+    rows = docs.withColumns({"__h": F.xxhash64(text_col), "__n": F.greatest(F.coalesce(F.size(_words_of(text_col)), F.lit(0)), F.lit(0))})
+    sizes = written(rows.select(F.col(id_col).alias("__id"), "__h", "__n").filter("__n > 0"), "sizes")
+    half = (sizes.agg(F.sum("__n")).first()[0] or 0) // 2
+    at = running(sizes, ["__id", "__h"], "__n", before="__before").filter((F.col("__before") <= half) & (F.col("__before") + F.col("__n") > half)).first()
+    words_of = rows.select(id_col, "__h", F.posexplode(_words_of(text_col)).alias("i", "word"))
+    if at is None:
+        return words_of.select(id_col, "i", "word", F.lit(0).alias("side"))
+    own, middle = F.struct(F.col(id_col).alias("a"), F.col("__h").alias("b")), F.struct(F.lit(at["__id"]).cast(docs.schema[id_col].dataType).alias("a"), F.lit(at["__h"]).cast("long").alias("b"))
+    side = F.when(own < middle, 0).when(own > middle, 1).otherwise((F.col("i") >= half - at["__before"]).cast("int"))
+    return words_of.select(id_col, "i", "word", side.alias("side"))
 
 
 def u32_from_binary(files: DataFrame, n: int = POOL_N) -> DataFrame:
