@@ -51,7 +51,8 @@ def _nth(rows: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
     # Each rank is a search of its own: ``place`` is its rank among the rows still there.
     live = _with(rows.filter("__v is not null"), ranks.select(*by, "rank", F.col("rank").alias("place")), by)
     key, found = [*by, "rank"], []
-    while True:
+    largest = rows.filter("__v is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    while (largest or 0) > FEW:
         # The sketch's percentiles are values that occur; the rank's is between two of them.
         marks = F.percentile_approx("__v", [k / MARKS for k in range(MARKS + 1)], ACCURACY)
         sizes = live.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("at"), marks.alias("marks")).filter("at >= 0 and at < n")

@@ -14,7 +14,7 @@ from hashloom.functions import families as fam
 from hashloom.functions import params
 from hashloom.functions.u64 import fast_range32, splitmix64
 from hashloom.operators import exact, metrics, sketches, states
-from hashloom.plans import experiments, sql
+from hashloom.plans import experiments, sql, timings
 from hashloom.sources import binary, datasets, extract
 from hashloom.sources.shared import shared_path
 
@@ -305,29 +305,36 @@ def oph_join(spark, sf_dir):
 
 # -- generators, pools, extraction ---------------------------------------------------------
 
-A1_N = 500_000
+#: As long as lineitem, so it grows with the tables.
+A1_N = "(SELECT count(*) FROM lineitem)"
 A1_SQL = f"""SELECT pos, key FROM (
-  SELECT range AS pos, range // 2 + 1 AS key FROM range({A1_N // 2})
+  SELECT p AS pos, p // 2 + 1 AS key FROM (SELECT unnest(range({A1_N} // 2)) AS p)
   UNION ALL
-  SELECT {A1_N // 2} + row_number() OVER (ORDER BY k, i) - 1 AS pos, k AS key FROM (SELECT k, unnest(range((k + 99) // 100)) AS i FROM (SELECT range AS k FROM range(1, 8000))) QUALIFY pos < {A1_N})"""
+  SELECT {A1_N} // 2 + row_number() OVER (ORDER BY k, i) - 1 AS pos, k AS key
+  FROM (SELECT k, unnest(range((k + 99) // 100)) AS i FROM (SELECT unnest(range(1, 100 * (CAST(sqrt({A1_N} / 100.0) AS BIGINT) + 2))) AS k)) QUALIFY pos < {A1_N})"""
+A1_SIDED_SQL = f"SELECT key, CAST({sql.splitmix64('(pos + 12648430)::UBIGINT')} & 1 AS INTEGER) AS side FROM ({A1_SQL})"
+
+
+def a1(spark, sf_dir):
+    return datasets.a1(spark, table(spark, sf_dir, "lineitem").count())
 
 
 @query("a1_stream", A1_SQL)
 def a1_stream(spark, sf_dir):
-    return datasets.a1(spark, A1_N)
+    return a1(spark, sf_dir)
 
 
-@query("a1_truth", f"WITH s AS ({A1_SQL}), f AS (SELECT key, count(*) AS n FROM s GROUP BY key) SELECT count(*) AS n_distinct, max(n) AS max_freq, (SELECT max(key) FROM s WHERE pos >= {A1_N // 2}) AS max_tail, CAST(sum(n) AS BIGINT) AS n FROM f")
+@query("a1_truth", f"WITH s AS ({A1_SQL}), f AS (SELECT key, count(*) AS n FROM s GROUP BY key) SELECT count(*) AS n_distinct, max(n) AS max_freq, (SELECT max(key) FROM s WHERE pos >= {A1_N} // 2) AS max_tail, CAST(sum(n) AS BIGINT) AS n FROM f")
 def a1_truth(spark, sf_dir):
-    s = datasets.a1(spark, A1_N)
-    tail = s.filter(F.col("pos") >= A1_N // 2).agg(F.max("key").alias("max_tail"))
+    s, n = a1(spark, sf_dir), table(spark, sf_dir, "lineitem").count()
+    tail = s.filter(F.col("pos") >= n // 2).agg(F.max("key").alias("max_tail"))
     f = exact.frequencies(s, "key").agg(F.count(F.lit(1)).alias("n_distinct"), F.max("freq").alias("max_freq"), F.sum("freq").alias("n"))
     return f.crossJoin(F.broadcast(tail))
 
 
-@query("a1_split", f"WITH s AS (SELECT key, CAST({sql.splitmix64('(pos + 12648430)::UBIGINT')} & 1 AS INTEGER) AS side FROM ({A1_SQL})) SELECT side, count(*) AS n, count(DISTINCT key) AS n_distinct FROM s GROUP BY side")
+@query("a1_split", f"SELECT side, count(*) AS n, count(DISTINCT key) AS n_distinct FROM ({A1_SIDED_SQL}) GROUP BY side")
 def a1_split(spark, sf_dir):
-    return datasets.split(datasets.a1(spark, A1_N), 0xC0FFEE).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_distinct"))
+    return datasets.split(a1(spark, sf_dir), 0xC0FFEE).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_distinct"))
 
 
 @query("a1_repeats", "SELECT k AS key, (k + 99) // 100 AS repeats FROM (SELECT DISTINCT l_partkey AS k FROM lineitem)")
@@ -361,9 +368,9 @@ def binary_pool(spark, sf_dir):
     return datasets.sample_stream(pool, STREAM, SEED).select("pos", "key")
 
 
-@query("entropy", f"SELECT range AS pos, ({sql.splitmix64(f'xor(range::UBIGINT, {params.draw(SEED, "entropy")}::UBIGINT)')} >> 32)::BIGINT AS value FROM range({STREAM})")
+@query("entropy", f"SELECT p AS pos, ({sql.splitmix64(f'xor(p::UBIGINT, {params.draw(SEED, "entropy")}::UBIGINT)')} >> 32)::BIGINT AS value FROM (SELECT unnest(range({A1_N})) AS p)")
 def entropy(spark, sf_dir):
-    return datasets.random_values(spark, STREAM, SEED, 32)
+    return datasets.random_values(spark, table(spark, sf_dir, "lineitem").count(), SEED, 32)
 
 
 _SHAS = "SELECT DISTINCT lower(s) AS sha FROM (SELECT unnest(regexp_extract_all({0}, '\\b[0-9a-fA-F]{{40}}\\b')) AS s FROM {1})"
@@ -475,9 +482,9 @@ def _accuracy_sql(name: str, reps: int, one) -> str:
     return " UNION ALL ".join(one(name, rep) for rep in range(1, reps + 1))
 
 
-def _bk_rep(name: str, rep: int, k: int = K) -> str:
-    h = sql.u32(name, A2_DISTINCT_SQL, params.draw(1, "rep", rep))
-    return f"SELECT '{name}' AS function, {rep} AS rep, round((estimate - n_distinct) / n_distinct, 8) AS relerr FROM ({_bottom_k_sql(h, k, 'SELECT count(DISTINCT l_partkey) AS n_distinct FROM lineitem')})"
+def _bk_rep(name: str, rep: int, k: int = K, keys: str = A2_DISTINCT_SQL) -> str:
+    h = sql.u32(name, keys, params.draw(1, "rep", rep))
+    return f"SELECT '{name}' AS function, {rep} AS rep, round((estimate - n_distinct) / n_distinct, 8) AS relerr FROM ({_bottom_k_sql(h, k, f'SELECT count(*) AS n_distinct FROM ({keys})')})"
 
 
 rounded = lambda df: df.select("function", "rep", F.round("relerr", 8).alias("relerr"))
@@ -494,11 +501,11 @@ def accuracy_bottomk_a2_small(spark, sf_dir):
     return rounded(experiments.bottom_k_accuracy(a2(spark, sf_dir), "key", ALL_U32, K, REPS))
 
 
-def _oph_rep(name: str, rep: int) -> str:
+def _oph_rep(name: str, rep: int, sides: str = SIDED_SQL) -> str:
     return f"""SELECT '{name}' AS function, {rep} AS rep, round((j - t) / CASE WHEN t > 0 THEN t ELSE 1.0 END, 8) AS relerr FROM (
 SELECT count(*) FILTER (WHERE x = y) / count(*) AS j FROM (SELECT max(m) FILTER (WHERE side = 0) AS x, max(m) FILTER (WHERE side = 1) AS y FROM (
-SELECT side, {sql.fast_range32('h', BINS)} AS bin, min(h) AS m FROM ({sql.u32(name, f'SELECT DISTINCT key, side FROM ({SIDED_SQL})', params.draw(1, 'rep', rep), 'side, ')}) GROUP BY ALL) GROUP BY bin)),
-(SELECT sum(a * b) / sum(greatest(a, b)) AS t FROM (SELECT key, max(side = 0)::INT AS a, max(side = 1)::INT AS b FROM ({SIDED_SQL}) GROUP BY key))"""
+SELECT side, {sql.fast_range32('h', BINS)} AS bin, min(h) AS m FROM ({sql.u32(name, f'SELECT DISTINCT key, side FROM ({sides})', params.draw(1, 'rep', rep), 'side, ')}) GROUP BY ALL) GROUP BY bin)),
+(SELECT sum(a * b) / sum(greatest(a, b)) AS t FROM (SELECT key, max(side = 0)::INT AS a, max(side = 1)::INT AS b FROM ({sides}) GROUP BY key))"""
 
 
 @query("accuracy_oph_a2", " UNION ALL ".join(_accuracy_sql(n, REPS, _oph_rep) for n in fam.U32))
@@ -506,8 +513,11 @@ def accuracy_oph_a2(spark, sf_dir):
     return rounded(experiments.oph_accuracy(sided(spark, sf_dir), "key", ALL_U32, BINS, REPS))
 
 
-def _cm_rep(name: str, rep: int) -> str:
-    cells = " UNION ALL ".join(f"SELECT key, freq, {r} AS r, {sql.fast_range32('h', FULL_WIDTH)} AS c FROM ({sql.u32(name, 'SELECT l_partkey AS key, count(*) AS freq FROM lineitem GROUP BY 1', params.draw(params.draw(1, 'row', r), 'rep', rep), 'freq, ')})" for r in range(DEPTH))
+A2_FREQ_SQL = "SELECT l_partkey AS key, count(*) AS freq FROM lineitem GROUP BY 1"
+
+
+def _cm_rep(name: str, rep: int, freq: str = A2_FREQ_SQL) -> str:
+    cells = " UNION ALL ".join(f"SELECT key, freq, {r} AS r, {sql.fast_range32('h', FULL_WIDTH)} AS c FROM ({sql.u32(name, freq, params.draw(params.draw(1, 'row', r), 'rep', rep), 'freq, ')})" for r in range(DEPTH))
     return f"SELECT '{name}' AS function, {rep} AS rep, round(avg((est - freq) / freq::DOUBLE), 8) AS relerr FROM (SELECT key, any_value(freq) AS freq, min(cnt) AS est FROM (SELECT key, freq, sum(freq) OVER (PARTITION BY r, c) AS cnt FROM ({cells})) GROUP BY key)"
 
 
@@ -537,9 +547,13 @@ def accuracy_bottomk_r2(spark, sf_dir):
     return rounded(experiments.bottom_k_accuracy(r2(spark, sf_dir), "key", ALL_R1, FULL_K, REPS))
 
 
-@query("accuracy_bottomk_a1")
+#: Made once for all families and repetitions.
+A1_WITH = f"WITH a1 AS MATERIALIZED (SELECT key, count(*) AS freq FROM ({A1_SQL}) GROUP BY key), a1_sided AS MATERIALIZED (SELECT DISTINCT key, side FROM ({A1_SIDED_SQL})) "
+
+
+@query("accuracy_bottomk_a1", A1_WITH + " UNION ALL ".join(_accuracy_sql(n, REPS, lambda n, rep: _bk_rep(n, rep, FULL_K, "SELECT key FROM a1")) for n in fam.U32))
 def accuracy_bottomk_a1(spark, sf_dir):
-    return rounded(experiments.bottom_k_accuracy(datasets.a1(spark, A1_N), "key", ALL_U32, FULL_K, REPS))
+    return rounded(experiments.bottom_k_accuracy(a1(spark, sf_dir), "key", ALL_U32, FULL_K, REPS))
 
 
 def r1_sided(spark, sf_dir):
@@ -572,9 +586,9 @@ def accuracy_bottomk_r1(spark, sf_dir):
     return rounded(experiments.bottom_k_accuracy(r1(spark, sf_dir), "key", ALL_BYTES, FULL_K, REPS))
 
 
-@query("accuracy_countmin_a1")
+@query("accuracy_countmin_a1", A1_WITH + " UNION ALL ".join(_accuracy_sql(n, REPS, lambda n, rep: _cm_rep(n, rep, "SELECT key, freq FROM a1")) for n in fam.U32))
 def accuracy_countmin_a1(spark, sf_dir):
-    return rounded(experiments.count_min_accuracy(datasets.a1(spark, A1_N), "key", ALL_U32, FULL_WIDTH, DEPTH, REPS))
+    return rounded(experiments.count_min_accuracy(a1(spark, sf_dir), "key", ALL_U32, FULL_WIDTH, DEPTH, REPS))
 
 
 @query("accuracy_countmin_r2")
@@ -582,9 +596,9 @@ def accuracy_countmin_r2(spark, sf_dir):
     return rounded(experiments.count_min_accuracy(r2(spark, sf_dir), "key", ALL_BYTES, FULL_WIDTH, DEPTH, REPS, direct=False))
 
 
-@query("accuracy_oph_a1")
+@query("accuracy_oph_a1", A1_WITH + " UNION ALL ".join(_accuracy_sql(n, REPS, lambda n, rep: _oph_rep(n, rep, "SELECT key, side FROM a1_sided")) for n in fam.U32))
 def accuracy_oph_a1(spark, sf_dir):
-    return rounded(experiments.oph_accuracy(datasets.split(datasets.a1(spark, A1_N), 0xC0FFEE), "key", ALL_U32, BINS, REPS))
+    return rounded(experiments.oph_accuracy(datasets.split(a1(spark, sf_dir), 0xC0FFEE), "key", ALL_U32, BINS, REPS))
 
 
 @query("accuracy_oph_r1")
@@ -597,6 +611,39 @@ def accuracy_oph_r2(spark, sf_dir):
     return rounded(experiments.oph_accuracy(r2_sided(spark, sf_dir), "key", ALL_BYTES, BINS, REPS))
 
 
+# -- timing drivers ----------------------------------------------------------------------------
+
+
+def _r1_all(seed: int) -> dict[str, str]:
+    every = "SELECT sha1(CAST(l_orderkey AS VARCHAR)) AS key, sha1(CAST(l_orderkey AS VARCHAR)) AS hexed FROM lineitem"
+    return {name: _r1_sql(name, seed, every) for name in fam.byte_families()}
+
+
+#: Stream, its families, and the SQL of their hashes, where there is one.
+STREAMS = {"a2": (a2, ALL_U32, {n: sql.u32(n, A2_SQL, SEED) for n in fam.U32}), "r1": (r1, ALL_R1, _r1_all(SEED)), "r2": (r2, ALL_R1, None)}
+USES = {
+    "raw": (timings.raw, lambda h: f"SELECT bit_xor(h) AS c FROM ({h})"),
+    "bottomk": (timings.bottom_k(FULL_K), lambda h: f"SELECT bit_xor(h) AS c FROM (SELECT DISTINCT h FROM ({h}) ORDER BY h LIMIT {FULL_K})"),
+    "countmin": (timings.count_min(FULL_WIDTH, DEPTH, SEED), lambda h: "SELECT bit_xor(n) AS c FROM (SELECT count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {r} AS r, {sql.fast_range32(sql.row_hash('h', params.draw(SEED, 'row_a', r), params.draw(SEED, 'row_b', r)), FULL_WIDTH)} AS c FROM ({h})" for r in range(DEPTH)) + ") GROUP BY r, c)"),
+    "oph": (timings.one_permutation(BINS), lambda h: f"SELECT bit_xor(m) AS c FROM (SELECT min(h) AS m FROM ({h}) GROUP BY {sql.fast_range32('h', BINS)})"),
+}
+
+
+def _speed_query(use, stream, families):
+    def run(spark, sf_dir):
+        keys = stream(spark, sf_dir)
+        times = timings.timed(spark, keys, "key", families, use, SEED, rounds=2)
+        return timings.speeds(times).select("function", "n", "loops", "checksum", "agree", ((F.col("ns_per_hash") > 0) & (F.col("mhash_s") > 0)).alias("timed"))
+
+    return run
+
+
+for _stream, (_keys, _families, _hashes) in STREAMS.items():
+    for _use, (_f, _checksum) in USES.items():
+        _one = None if _hashes is None else " UNION ALL ".join(f"SELECT '{n}' AS function, (SELECT count(*) FROM lineitem) AS n, 1 AS loops, c AS checksum, true AS agree, true AS timed FROM ({_checksum(h)})" for n, h in _hashes.items())
+        query(f"speed_{_use}_{_stream}", _one)(_speed_query(_f, _keys, _families))
+
+
 # -- sketches as values ----------------------------------------------------------------------
 
 

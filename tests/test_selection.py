@@ -8,7 +8,7 @@ import pytest
 from hashloom.operators import selection
 
 
-@pytest.mark.parametrize("few", [10_000, 20])
+@pytest.mark.parametrize("few", [10_000, 1000, 20])
 def test_percentiles(spark, monkeypatch, few):
     monkeypatch.setattr(selection, "FEW", few)  # with few, several rounds
     rng = random.Random(5)
