@@ -15,7 +15,7 @@ from hashloom.llm.decontam import contamination
 from hashloom.llm.jaccard import jaccard_components
 from hashloom.llm.langid import fit, held_out, identify
 from hashloom.llm.linededup import dedup_lines
-from hashloom.llm.shared import table, written
+from hashloom.llm.shared import forget, table, written
 
 #: A text stays if its language is known with at least this mean marginal.
 MIN_SCORE = 0.4
@@ -80,8 +80,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(BATCH_KEY, None)
     spark.conf.set(BATCH_KEY, BATCH_BYTES)
     try:
-        for name, stage in STAGES:
-            docs = written(stage(spark, docs, sf_dir), name)
+        for k, (name, stage) in enumerate(STAGES):
+            before_it, docs = docs, written(stage(spark, docs, sf_dir), name)
+            if k:  # what a stage has written is not read after the next one
+                forget(before_it)
     finally:
         spark.conf.unset(BATCH_KEY) if before is None else spark.conf.set(BATCH_KEY, before)
     return docs
