@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hashloom.functions import params
-from hashloom.functions.u64 import M32, M64, in_batches, limbs_of, low32, signed
+from hashloom.functions.u64 import M32, M64, in_batches, limbs_of, low32, mul64, poly61, signed
 
 # The secrets and the default seed of rapidhash.
 SECRET = (0x2D358DCCAA6C78A5, 0x8BB84B93962EACC9, 0x4B33A62ED433D4A3)
@@ -95,7 +95,7 @@ def seeded(seed: int, length: int) -> int:
 def rapid_u32_batch(x: np.ndarray, seed: int) -> np.ndarray:
     """Rapid hash, upper 32 bits, of the key's four bytes: both reads give (x << 32) | x."""
     both = (x << np.uint64(32)) | x
-    low, high = _mul(both ^ np.uint64(SECRET[1]), both ^ np.uint64(seeded(seed, 4)))
+    low, high = mul64(both ^ np.uint64(SECRET[1]), both ^ np.uint64(seeded(seed, 4)))
     return _mix(low ^ np.uint64(SECRET[0] ^ 4), high ^ np.uint64(SECRET[1])) >> np.uint64(32)
 
 
@@ -103,6 +103,11 @@ def rapid_u32(key: Column, seed: int = RAPID_SEED) -> Column:
     return in_batches(lambda x: rapid_u32_batch(x, seed))(key)
 
 
+def polynomial(key: Column, coeffs: list[int]) -> Column:
+    """A polynomial mod 2^61 - 1 of a 64-bit key taken as unsigned, the highest coefficient first."""
+    return in_batches(lambda x: poly61(x, coeffs))(key)
+
+
 def word_le(key: Column, i: int) -> Column:
     """The i-th little-endian 32-bit word of a BINARY column."""
     pair = [F.hex(F.substring(key, 4 * i + 1 + k, 1)) for k in (3, 2, 1, 0)]
@@ -112,17 +117,8 @@ def word_le(key: Column, i: int) -> Column:
 # -- byte strings, in batches ---------------------------------------------
 
 
-def _mul(a, b):
-    """128-bit product of uint64 arrays: (low, high)."""
-    s, m = np.uint64(32), np.uint64(M32)
-    a0, a1, b0, b1 = a & m, a >> s, b & m, b >> s
-    p00, p01, p10 = a0 * b0, a0 * b1, a1 * b0
-    mid = (p00 >> s) + (p01 & m) + (p10 & m)
-    return a * b, a1 * b1 + (p01 >> s) + (p10 >> s) + (mid >> s)
-
-
 def _mix(a, b):
-    low, high = _mul(a, b)
+    low, high = mul64(a, b)
     return low ^ high
 
 
@@ -166,7 +162,7 @@ def rapid64_batch(m: np.ndarray, seed: int) -> np.ndarray:
             if left > 32:
                 start = _mix(r(at + 16) ^ s2, r(at + 24) ^ start)
         a, b = r(at + left - 16), r(at + left - 8)
-    low, high = _mul(a ^ s1, b ^ start)
+    low, high = mul64(a ^ s1, b ^ start)
     return _mix(low ^ s0 ^ np.uint64(n), high ^ s1)
 
 
@@ -255,21 +251,21 @@ class Family:
 
 
 @lru_cache(256)
-def _tables(kind: str, seed: int, depth: int = 0) -> np.ndarray:
-    return np.array(params.simple_table(seed) if kind == "simple" else params.tornado_table(seed, depth), np.uint64)
+def _tables(kind: str, seed: int, depth: int = 0, fill: str = "counter") -> np.ndarray:
+    return np.array(params.simple_table(seed, fill) if kind == "simple" else params.tornado_table(seed, depth, fill), np.uint64)
 
 
 def _byte(x: np.ndarray, i: int) -> np.ndarray:
     return ((x >> np.uint64(8 * i)) & np.uint64(255)).astype(np.int64)
 
 
-def simple_batch(x: np.ndarray, seed: int) -> np.ndarray:
-    t = _tables("simple", seed)
+def simple_batch(x: np.ndarray, seed: int, fill: str = "counter") -> np.ndarray:
+    t = _tables("simple", seed, 0, fill)
     return t[0][_byte(x, 0)] ^ t[1][_byte(x, 1)] ^ t[2][_byte(x, 2)] ^ t[3][_byte(x, 3)]
 
 
-def tornado_batch(x: np.ndarray, seed: int, depth: int) -> np.ndarray:
-    t = _tables("tornado", seed, depth)
+def tornado_batch(x: np.ndarray, seed: int, depth: int, fill: str = "counter") -> np.ndarray:
+    t = _tables("tornado", seed, depth, fill)
     h = t[0][_byte(x, 0)] ^ t[1][_byte(x, 1)] ^ t[2][_byte(x, 2)] ^ (x >> np.uint64(24))
     for derived in t[3:]:
         h = (h >> np.uint64(8)) ^ derived[_byte(h, 0)]
@@ -281,12 +277,12 @@ def multiply_shift_batch(x: np.ndarray, seed: int) -> np.ndarray:
     return (x * np.uint64(a) + np.uint64(b)) >> np.uint64(32)
 
 
-def _simple(df: DataFrame, key: str, out: str, seed: int) -> DataFrame:
-    return df.withColumn(out, simple_tabulation(F.col(key), params.simple_table(seed)))
+def _simple(fill: str = "counter") -> Family:
+    return Family("SimpleTab32", lambda df, key, out, seed: df.withColumn(out, simple_tabulation(F.col(key), params.simple_table(seed, fill))), lambda x, seed: simple_batch(x, seed, fill))
 
 
-def _tornado(depth: int, name: str) -> Family:
-    return Family(name, lambda df, key, out, seed: tornado(df, key, out, params.tornado_table(seed, depth)), lambda x, seed: tornado_batch(x, seed, depth))
+def _tornado(depth: int, fill: str = "counter") -> Family:
+    return Family(f"TornadoTab32D{depth}", lambda df, key, out, seed: tornado(df, key, out, params.tornado_table(seed, depth, fill)), lambda x, seed: tornado_batch(x, seed, depth, fill))
 
 
 def _on_vector(name: str, then: Family | None) -> Family:
@@ -312,13 +308,17 @@ def _named(families: list[Family]) -> dict[str, Family]:
 U32 = _named(
     [
         Family("MultShift", lambda df, key, out, seed: df.withColumn(out, multiply_shift(F.col(key), params.draw(seed, "ms", 0), params.draw(seed, "ms", 1))), multiply_shift_batch),
-        Family("SimpleTab32", _simple, simple_batch),
-        *[_tornado(d, f"TornadoTab32D{d}") for d in (1, 2, 3, 4)],
+        _simple(),
+        *[_tornado(d) for d in (1, 2, 3, 4)],
         Family("RapidHash32", lambda df, key, out, seed: df.withColumn(out, rapid_u32(F.col(key), params.draw(seed, "rapid"))), lambda x, seed: rapid_u32_batch(x, params.draw(seed, "rapid"))),
     ]
 )
 
 
+#: The table families with tables filled by polynomial, the others being the same.
+POLY = _named([_simple("polynomial"), *[_tornado(d, "polynomial") for d in (1, 2, 3, 4)]])
+
+
 def byte_families() -> dict[str, Family]:
     """The families over byte strings."""
     rapid_batch = lambda keys, seed: over_rows(keys, lambda m: rapid64_batch(m, params.draw(seed, "rapid"))) >> np.uint64(32)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 M16, M32, M64 = 0xFFFF, 0xFFFFFFFF, (1 << 64) - 1
+P61 = (1 << 61) - 1
 
 
 def signed(v: int) -> int:
@@ -68,6 +69,32 @@ def splitmix64(x: Column) -> Column:
     return in_batches(_splitmix64)(x)
 
 
+def mul64(a, b):
+    """128-bit product of uint64 arrays: (low, high)."""
+    s, m = np.uint64(32), np.uint64(M32)
+    a0, a1, b0, b1 = a & m, a >> s, b & m, b >> s
+    p00, p01, p10 = a0 * b0, a0 * b1, a1 * b0
+    mid = (p00 >> s) + (p01 & m) + (p10 & m)
+    return a * b, a1 * b1 + (p01 >> s) + (p10 >> s) + (mid >> s)
+
+
+def _mod61(x: np.ndarray) -> np.ndarray:
+    """Of any 64-bit value; 2^61 is 1, so the upper bits are added to the lower."""
+    p, s = np.uint64(P61), np.uint64(61)
+    x = (x & p) + (x >> s)
+    return np.where(x >= p, x - p, x)
+
+
+def poly61(x: np.ndarray, coeffs: list[int]) -> np.ndarray:
+    """A polynomial mod 2^61 - 1, the highest coefficient first, by Horner's rule."""
+    x = _mod61(x)
+    h, s = np.zeros(len(x), np.uint64), np.uint64(61)
+    for c in coeffs:
+        low, high = mul64(h, x)
+        h = _mod61((low & np.uint64(P61)) + ((low >> s) | (high << np.uint64(3))) + np.uint64(c))
+    return h
+
+
 def fast_range32(h: Column, n: int) -> Column:
     """floor(h * n / 2^32) for 32-bit h; n below 2^31 keeps the product in range."""
     if not 0 < n < 1 << 31:

@@ -15,7 +15,7 @@ from hashloom.functions import params
 from hashloom.functions.u64 import fast_range32, splitmix64
 from hashloom.operators import exact, metrics, sketches, states
 from hashloom.plans import experiments, sql, timings
-from hashloom.sources import binary, datasets, extract
+from hashloom.sources import binary, datasets, extract, zips
 from hashloom.sources.shared import shared_path
 
 QUERIES, ORACLE = {}, {}
@@ -88,9 +88,9 @@ def bottomk_partkey(spark, sf_dir):
 # -- hash families, their checksums and collisions ---------------------------------------
 
 
-def _hash_query(name: str):
+def _hash_query(name: str, families=fam.U32):
     def run(spark, sf_dir):
-        return fam.U32[name].apply(a2(spark, sf_dir).distinct(), "key", "h", SEED).select("key", "h")
+        return families[name].apply(a2(spark, sf_dir).distinct(), "key", "h", SEED).select("key", "h")
 
     return run
 
@@ -150,6 +150,14 @@ for _name in fam.U32:
     query(f"hash_{_name.lower()}", sql.u32(_name, A2_DISTINCT_SQL, SEED))(_hash_query(_name))
     query(f"checksum_{_name.lower()}", f"SELECT bit_xor(h) AS checksum, CAST(bit_count(bit_xor(h)) AS BIGINT) AS n_bits FROM ({sql.u32(_name, A2_SQL, SEED)})")(_checksum_query(_name))
     _sketch_queries(_name)
+for _name in fam.POLY:
+    query(f"hash_{_name.lower()}_poly", sql.u32(_name, A2_DISTINCT_SQL, SEED, fill="polynomial"))(_hash_query(_name, fam.POLY))
+
+
+@query("hash_poly61", f"SELECT key, {sql.poly61('key', params.polynomial(SEED, 'keys'))}::BIGINT AS h FROM ({A2_DISTINCT_SQL})")
+def hash_poly61(spark, sf_dir):
+    keys = a2(spark, sf_dir).distinct()
+    return keys.withColumn("h", fam.polynomial(F.col("key"), params.polynomial(SEED, "keys")))
 
 
 def _r1_sql(name: str, seed: int = SEED, source: str = R1_SQL, keep: str = "") -> str:
@@ -421,6 +429,14 @@ def first_words(spark, sf_dir):
     return datasets.first_words(table(spark, sf_dir, "documents"), FIRST)
 
 
+@query("zip_words", ORACLE["first_words"])
+def zip_words(spark, sf_dir):
+    """The same with all texts written to zip archives and their members read in pieces."""
+    path = shared_path(spark, "zips")
+    zips.write_zips(table(spark, sf_dir, "documents"), path, ["doc_id"])
+    return zips.first_words_of_zips(spark, path, FIRST)
+
+
 @query("joined_words", rf"WITH f AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, w FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS ws FROM documents)) WHERE w <> '' QUALIFY pos < {FIRST}) SELECT pos // {PER_ROW} AS row, string_agg(w, ' ' ORDER BY pos) AS text FROM f GROUP BY 1")
 def joined_words(spark, sf_dir):
     return extract.joined_words(datasets.first_words(table(spark, sf_dir, "documents"), FIRST), per_row=PER_ROW)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from hashloom.functions import params
 from hashloom.functions.families import SECRET, seeded
-from hashloom.functions.u64 import M32, M64
+from hashloom.functions.u64 import M32, M64, P61
 
 TWO64 = "18446744073709551616::UHUGEINT"
 
@@ -38,30 +38,45 @@ def fast_range32(h: str, n: int) -> str:
     return f"((({h})::HUGEINT * {n}) // 4294967296::HUGEINT)::BIGINT"
 
 
-def simple(x: str, seed: int) -> str:
-    t = params.simple_table(seed)
-    at = [f"{_list(t[i], 'BIGINT')}[((({x}) >> {8 * i}) & 255) + 1]" for i in range(4)]
-    return f"xor(xor({at[0]}, {at[1]}), xor({at[2]}, {at[3]}))"
+def poly61(x: str, coeffs: list[int]) -> str:
+    """A polynomial mod 2^61 - 1, the highest coefficient first, of an unsigned 64-bit expression."""
+    return f"list_reduce({_list([0, *coeffs], 'UHUGEINT')}, lambda a, c: (a * (({x})::UHUGEINT % {P61}::UHUGEINT) + c) % {P61}::UHUGEINT)"
 
 
-def u32(name: str, source: str, seed: int, keep: str = "") -> str:
-    """A query of (key, h) from a query of (key); ``keep`` names more columns, each with a comma after it."""
+def filled(seed: int, tag: str, n: int) -> str:
+    """One row with v, the list of n 64-bit values that a polynomial fills tables with."""
+    half = lambda x: f"({poly61(x, params.polynomial(seed, tag))} % 4294967296::UHUGEINT)"
+    return f"SELECT list(({half('2 * i')} + {half('2 * i + 1')} * 4294967296::UHUGEINT)::UBIGINT ORDER BY i) AS v FROM range({n}) r(i)"
+
+
+def u32(name: str, source: str, seed: int, keep: str = "", fill: str = "counter") -> str:
+    """A query of (key, h) from a query of (key); ``keep`` names more columns, each with a comma
+    after it.  Tables filled by counter are constants, those filled by polynomial are computed."""
     if name == "MultShift":
         return f"SELECT {keep}key, {multiply_shift('key', seed)} AS h FROM ({source})"
     if name == "SimpleTab32":
-        return f"SELECT {keep}key, {simple('key', seed)} AS h FROM ({source})"
+        if fill == "counter":
+            t = params.simple_table(seed)
+            at = [f"{_list(t[i], 'BIGINT')}[((key >> {8 * i}) & 255) + 1]" for i in range(4)]
+            return f"SELECT {keep}key, xor(xor({at[0]}, {at[1]}), xor({at[2]}, {at[3]})) AS h FROM ({source})"
+        at = [f"v[{256 * i} + ((key >> {8 * i}) & 255) + 1]" for i in range(4)]
+        return f"SELECT {keep}key, (xor(xor({at[0]}, {at[1]}), xor({at[2]}, {at[3]})) % 4294967296::UBIGINT)::BIGINT AS h FROM ({source}), ({filled(seed, 'simple', 1024)})"
     if name == "RapidHash32":
         s = params.draw(seed, "rapid")
         both = "(key::UBIGINT * 4294967296::UBIGINT + key::UBIGINT)"
         one = f"SELECT {keep}key, {wide(f'xor({both}, {SECRET[1]}::UBIGINT)')} * {wide(f'xor({both}, {seeded(s, 4)}::UBIGINT)')} AS p FROM ({source})"
         return _finish(one, keep, 4)
     depth = int(name[-1])
-    t = params.tornado_table(seed, depth)
-    at = lambda r, i: f"{_list(t[r], 'UBIGINT')}[({i})::BIGINT + 1]"
+    if fill == "counter":
+        t = params.tornado_table(seed, depth)
+        at = lambda r, i: f"{_list(t[r], 'UBIGINT')}[({i})::BIGINT + 1]"
+    else:
+        source, keep = f"SELECT * FROM ({source}), ({filled(seed, 'tornado', 256 * (3 + depth))})", f"{keep}v, "
+        at = lambda r, i: f"v[{256 * r} + ({i})::BIGINT + 1]"
     q = f"SELECT {keep}key, xor(xor(xor({at(0, 'key & 255')}, {at(1, '(key >> 8) & 255')}), {at(2, '(key >> 16) & 255')}), (key >> 24)::UBIGINT) AS h FROM ({source})"
     for d in range(depth):
         q = f"SELECT {keep}key, xor(h >> 8, {at(3 + d, 'h & 255')}) AS h FROM ({q})"
-    return f"SELECT {keep}key, (h & 4294967295)::BIGINT AS h FROM ({q})"
+    return f"SELECT {keep.removesuffix('v, ') if fill != 'counter' else keep}key, (h & 4294967295)::BIGINT AS h FROM ({q})"
 
 
 def _finish(product: str, keep: str, length: int) -> str:

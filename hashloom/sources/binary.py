@@ -33,6 +33,12 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def made(uri: str) -> None:
+    """Makes a folder, so that it is there if no task has rows."""
+    system, root = opened(uri)
+    system.create_dir(root, recursive=True)
+
+
 class RangePartition(InputPartition):
     def __init__(self, uri: str, begin: int, end: int, first: int):
         self.uri, self.begin, self.end, self.first = uri, begin, end, first
@@ -120,7 +126,6 @@ def write_u32(rows: DataFrame, path: str, order: Sequence[str], key: str = "key"
 
         task = TaskContext.get()
         system, root = opened(path)
-        system.create_dir(root, recursive=True)
         name, n = f"part-{task.partitionId():08d}.u32", 0
         temporary = f"{root}/_{name}-{task.taskAttemptId()}"
         with system.open_output_stream(temporary) as f:
@@ -133,4 +138,5 @@ def write_u32(rows: DataFrame, path: str, order: Sequence[str], key: str = "key"
         system.move(temporary, f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
+    made(path)
     return sorted_rows.select("__key").mapInArrow(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

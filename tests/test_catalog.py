@@ -7,7 +7,7 @@ import pytest
 from hashloom.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["bottomk_partkey", "oph_tornadotab32d3", "countmin_prehash_rapidhash32", "countmin_direct_simpletab32", "set_intersection", "summary_moments", "first_words"]
+SOME = ["bottomk_partkey", "oph_tornadotab32d3", "countmin_prehash_rapidhash32", "countmin_direct_simpletab32", "set_intersection", "summary_moments", "first_words", "zip_words", "hash_simpletab32_poly", "hash_tornadotab32d2_poly", "hash_poly61"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

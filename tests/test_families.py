@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,42 @@ def test_u32_families_match_the_model(numbers, name):
     assert [r.h for r in rows] == [want(r.key) for r in rows]
 
 
+@pytest.mark.parametrize("name", list(fam.POLY))
+def test_tables_filled_by_polynomial(numbers, name):
+    seed, p = 9, 2**61 - 1
+
+    def value(coeffs, x):
+        return sum(c * pow(x, len(coeffs) - 1 - i, p) for i, c in enumerate(coeffs)) % p
+
+    kind, n = ("simple", 4) if name == "SimpleTab32" else ("tornado", 3 + int(name[-1]))
+    coeffs = params.polynomial(seed, kind)
+    assert len(coeffs) == 100 and max(coeffs) < p
+    t = [[(value(coeffs, 2 * i) % 2**32) + ((value(coeffs, 2 * i + 1) % 2**32) << 32) for i in range(256 * r, 256 * (r + 1))] for r in range(n)]
+    if kind == "simple":
+        t = [[v % 2**32 for v in row] for row in t]
+        assert params.simple_table(seed, "polynomial") == t
+    else:
+        assert params.tornado_table(seed, n - 3, "polynomial") == t
+    rows = fam.POLY[name].apply(numbers, "key", "h", seed).collect()
+    assert [r.h for r in rows] == [model.simple(r.key, t) if kind == "simple" else model.tornado(r.key, t) for r in rows]
+    again = fam.POLY[name].batch(fam.loaded(pa.array([r.key for r in rows])), seed)
+    assert again.tolist() == [r.h for r in rows]
+
+
+def test_polynomials(spark):
+    p, rng = 2**61 - 1, random.Random(7)
+    keys = [0, 1, p - 1, p, p + 1, 2**62, 2**63 - 1, -1, -(2**63), *(rng.getrandbits(63) for _ in range(40))]
+    df = spark.createDataFrame([(k,) for k in [*keys, None]], "key long")
+    for coeffs in ([0], [p - 1], [1, 0], [p - 1] * 5, params.polynomial(3, "x", 7)):
+        got = {r.key: r.h for r in df.withColumn("h", fam.polynomial(F.col("key"), coeffs)).collect()}
+        assert got.pop(None) is None
+        assert got == {k: sum(c * pow(k % 2**64, len(coeffs) - 1 - i, p) for i, c in enumerate(coeffs)) % p for k in keys}
+    with pytest.raises(ValueError):
+        params.polynomial(1, "x", 0)
+    with pytest.raises(ValueError):
+        params.simple_table(1, "other")
+
+
 def test_byte_families_match_the_model(strings):
     seed = 9
     c = params.coefficients(seed)

@@ -31,6 +31,8 @@ def test_binary_files(spark, tmp_path):
     assert [r.key for r in binary.read_u32(spark, f"file://{tmp_path}/odd/a.rng").collect()] == [1, 2]
     (tmp_path / "none").mkdir()
     assert binary.read_u32(spark, f"file://{tmp_path}/none").count() == 0
+    assert binary.write_u32(spark.createDataFrame([], "pos long, key long"), f"file://{tmp_path}/no_rows", ["pos"]) == 0
+    assert binary.read_u32(spark, f"file://{tmp_path}/no_rows").count() == 0
     with pytest.raises(Exception, match="32 bits"):
         binary.write_u32(spark.createDataFrame([(1, 2**32)], "pos long, key long"), f"file://{tmp_path}/wide", ["pos"])
 
