@@ -1,7 +1,7 @@
 """Document fingerprints: threshold-scaled sketches of character shingles.
 
 A text's shingles are all runs of ``WIDTH`` code points (a shorter text is one shingle).
-Each has a 48-bit hash; the fingerprint keeps every hash below a fixed fraction, 1 /
+Each has a hash of ``BITS`` bits; the fingerprint keeps every hash below a fixed fraction, 1 /
 ``FRACTION``, of the hash space, however many that are, so a long text keeps more than a
 short one, two fingerprints can be compared or merged whatever the lengths of their texts,
 and a part's containment in a whole is estimated without bias.  The fraction is the same
@@ -10,10 +10,12 @@ above the threshold: two such texts are as alike as their marks are equal, and a
 other text a mark counts for nothing.
 
 An estimate of similarity s from n distinct shingles of both texts has a standard error of
-sqrt(s (1 - s) FRACTION / n): 0.05 at 400 shingles and s = 0.5.
+sqrt(s (1 - s) FRACTION / n): 0.05 at 6400 shingles and s = 0.5, 0.2 at 400.
 
-A fingerprint is a string: the denominator of its fraction, a colon, and the sorted
-hashes in base64 (8 letters each).  Equal texts have equal fingerprints.
+A fingerprint is a string: the denominator of its fraction, a colon, and the sorted hashes
+in base64, four bytes each (a mark has five), so some 0.1 letters for a byte of text.
+:func:`packed` makes the bytes without base64, for tables of fingerprints.  Two different
+shingles share a kept hash with probability 2^-32.  Equal texts have equal fingerprints.
 
 Defined cases: the empty text and null have no shingles and an empty sketch, as no other
 text has; two empty ones are alike (1.0), an empty one is unlike any other (0.0); an empty
@@ -34,14 +36,17 @@ from pyspark.sql import types as T
 
 from hashloom.llm.shared import mix64, plus, stretches
 
-WIDTH, FRACTION = 8, 4
-TOP = np.uint64((1 << 48) // FRACTION)
+WIDTH, FRACTION = 8, 64
+#: Hashes below the fraction are those of 32 bits.
+BITS = 32 + FRACTION.bit_length() - 1
+TOP = np.uint64(1 << 32)
+_SHIFT = np.uint64(64 - BITS)
 _P = (0x9E3779B97F4A7C15 | 1) % (1 << 64)
 _POWERS = [np.uint64(pow(_P, k, 1 << 64)) for k in range(WIDTH + 1)]
 
 
 def sketch(text: str) -> np.ndarray:
-    """Sorted distinct 48-bit hashes below the fraction, or the least one alone if none is."""
+    """Sorted distinct hashes below the fraction, or the least one alone if none is."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if not len(c):
         return np.zeros(0, np.uint64)
@@ -50,27 +55,34 @@ def sketch(text: str) -> np.ndarray:
         with np.errstate(over="ignore"):
             for x in c:
                 h = h * _POWERS[1] + x + np.uint64(1)
-        return mix64(np.array([h], np.uint64)) >> np.uint64(16)
+        return mix64(np.array([h], np.uint64)) >> _SHIFT
     two = c[:-1] * _POWERS[1] + c[1:]
     four = two[:-2] * _POWERS[2] + two[2:]
-    h = mix64(four[:-4] * _POWERS[4] + four[4:]) >> np.uint64(16)
+    h = mix64(four[:-4] * _POWERS[4] + four[4:]) >> _SHIFT
     some = h[h < TOP]
     return np.unique(some) if len(some) else h.min(keepdims=True)
 
 
+def to_bytes(s: np.ndarray) -> bytes:
+    """Four bytes a hash; a mark, which needs more than 32 bits, has five."""
+    return int(s[0]).to_bytes(5, "big") if len(s) and s[0] >= TOP else s.astype(">u4").tobytes()
+
+
+def from_bytes(raw: bytes) -> np.ndarray:
+    if len(raw) == 5:
+        return np.array([int.from_bytes(raw, "big")], np.uint64)
+    return np.frombuffer(raw, ">u4").astype(np.uint64)
+
+
 def to_string(s: np.ndarray) -> str:
-    raw = s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-    return f"{FRACTION}:{base64.b64encode(raw.tobytes()).decode()}"
+    return f"{FRACTION}:{base64.b64encode(to_bytes(s)).decode()}"
 
 
 def from_string(s: str) -> np.ndarray:
     scale, _, data = s.partition(":")
     if int(scale) != FRACTION:
         raise ValueError(f"a fingerprint of another fraction: 1/{scale}")
-    raw = np.frombuffer(base64.b64decode(data), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, 2:] = raw
-    return out.view(">u8").ravel().astype(np.uint64)
+    return from_bytes(base64.b64decode(data))
 
 
 def _below(s: np.ndarray) -> np.ndarray:
@@ -107,6 +119,11 @@ def fingerprint(text: pd.Series) -> pd.Series:
     return text.map(lambda t: to_string(sketch(t or "")))
 
 
+@F.pandas_udf(T.BinaryType())
+def packed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: to_bytes(sketch(t or "")))
+
+
 @F.pandas_udf(T.DoubleType())
 def likeness_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else likeness(from_string(x), from_string(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
