@@ -342,11 +342,11 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     each = written(each, "entities")
     # One entity may be in a third of all documents.
     new = written(surrogates(each, key).join(each.groupBy("kind", "raw").agg(F.count(F.lit(1)).alias("n")), ["kind", "raw"]), "new")
-    per_doc = spread_join(each, new, ["kind", "raw"], "n", ["__id", "__row", "raw"]).distinct().groupBy("__id", "__row").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("map"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    per_doc = spread_join(each, new, ["kind", "raw"], "n", ["__id", "__row", "raw"]).distinct().groupBy("__id", "__row").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("__map"), F.array_sort(F.collect_set("kind")).alias("kinds"))
     per_doc = per_doc.withColumnsRenamed({"__id": "__id2", "__row": "__row2"})
     joined = some.join(per_doc, some["__id"].eqNullSafe(per_doc["__id2"]) & (some["__row"] == per_doc["__row2"]))
     gaps = F.split(text, ANY, -1)
-    whole = F.zip_with(gaps, F.col("__found"), lambda g, m: F.concat(g, F.coalesce(F.element_at(F.col("map"), m), m, F.lit(""))))
+    whole = F.zip_with(gaps, F.col("__found"), lambda g, m: F.concat(g, F.coalesce(F.element_at(F.col("__map"), m), m, F.lit(""))))
     changed = joined.select(*rest, F.array_join(whole, "").alias(text_col), F.size("__real").cast("long").alias("n_entities"), "kinds")
     same = rows.filter(~with_any).select(*rest, text_col, F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     return reduce(DataFrame.unionByName, [changed, same])

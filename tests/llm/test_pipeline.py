@@ -1,10 +1,12 @@
 """The pipeline's stages on planted cases."""
 
+import hashlib
 import os
 
+import numpy as np
 import pytest
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +33,42 @@ def test_stages(spark):
     assert 9002 not in kept[3]
     assert kept[3] == kept[4] and len(kept[4]) > 150
     assert "ids_sha256" in docs.columns
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_run_against_brute_force(spark, tmp_path):
+    """The whole run against plain versions of its stages; of the language stage, whose
+    model is learned, what it keeps is taken as it is and checked by its rule."""
+    from hashloom.llm.langid import fit, held_out, identify
+    from test_operators import components_by_force, contamination_by_force, lines_by_force
+    from tokenizers import Tokenizer
+
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    first = source.filter("length(text) > 900").orderBy("doc_id").first().text
+    add = [(9001, first.replace(" ", "  ", 3), "en", "s", 1), (9002, "12 34 !!", "en", "s", 1), (9003, None, None, None, None), (9004, first + "\nmore words here", None, None, 1)]
+    source.unionAll(spark.createDataFrame(add, source.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    found = identify(docs.select("doc_id", "text"), fit(docs.filter(~held_out())), keep_text=True).collect()
+    texts = {r.doc_id: r.text for r in found if r.lang_pred != "und" and r.score >= corpus_pipeline.MIN_SCORE}
+    assert len(texts) > 0.9 * len(found) and not {9002, 9003} & set(texts)
+    cut = lines_by_force(sorted(texts.items()))
+    texts = {i: t for i, (t, gone) in cut.items() if gone < texts[i].count("\n") + 1}
+    groups = components_by_force(texts, 5, (80, 100))
+    texts = {i: t for i, t in texts.items() if groups[i][1] == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    hits = {i: contamination_by_force(t, items) for i, t in texts.items()}
+    texts = {i: t for i, t in texts.items() if not (hits[i][1] and 20 * hits[i][1] >= hits[i][0])}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    want = {i: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in want.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
+
+
+def test_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
