@@ -14,7 +14,8 @@ chunks of a batch advance together and the result is that of the plain recursion
 has the language of the greatest mean marginal, and that mean is its score.
 
 The model is fitted on a bounded sample: of each language the ``per_lang`` rows of
-smallest hash of the id.  Its size doesn't depend on the input.  One scan counts the rows
+smallest hash of the id, and of each at most ``stretch`` code points from a place that
+this hash gives.  So neither its rows nor its bytes depend on the input.  One scan counts the rows
 of each language, one takes the sample.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so is every
@@ -238,10 +239,13 @@ def _pairs(crf: Crf, scores: np.ndarray, marginals: np.ndarray, t: np.ndarray) -
     return joint.sum(axis=0)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200) -> Crf | None:
-    """Fits on at most ``per_lang`` rows of each language, those of smallest id hash."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 200, stretch: int = 1 << 15) -> Crf | None:
+    """Fits on at most ``per_lang`` rows of each language, those of smallest id hash, and
+    ``stretch`` code points of each."""
     place = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 33).alias("__place")
-    rows = labelled.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), place)
+    spare = F.greatest(F.char_length(text_col) - stretch, F.lit(0)) + 1
+    sample = F.substring(F.col(text_col), F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), spare).cast("int") + 1, F.lit(stretch))
+    rows = labelled.filter(F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(F.col(lang_col).alias("__lang"), sample.alias("__text"), place)
     counts = sorted(tuple(r) for r in rows.groupBy("__lang").count().collect())
     if not counts:
         return None
