@@ -20,7 +20,8 @@ shingles share a kept hash with probability 2^-32.  Equal texts have equal finge
 Defined cases: the empty text and null have no shingles and an empty sketch, as no other
 text has; two empty ones are alike (1.0), an empty one is unlike any other (0.0); an empty
 table gives none; very long texts are taken whole; null ids come last and repeated rows
-give a row each, ties being in order of text; other columns than id and text are left out.
+give a row each, ties being in order of text (all rows of one id are in one task); other
+columns than id and text are left out.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ this loses nothing.
 All of it is DataFrame operations; the templates are literals of fixed size.
 
 Defined cases: null texts, and texts of fewer words than a shingle, match nothing and
-have no row; repeated rows count once; extra columns are ignored.  Of licenses whose
+have no row; an empty table gives none; very long texts are scanned whole; rows that repeat
+in id and text count once, and rows of one id (null ids too) are one document; extra columns are ignored.  Of licenses whose
 windows overlap, one that is held to a greater share stands; equals stand together.
 """
 
