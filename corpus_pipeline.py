@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the
 columns of ``documents``.  :func:`run` writes each result to the shared folder and reads
 it again, so a lost executor costs no more than its stage.
+
+Defined cases: null texts, and texts without a letter, go in the first stage; an empty
+table gives an empty result of the same columns; very long texts go through whole; of rows
+that repeat in id and text one is left after the near duplicates, and of equal texts the
+one of smallest id; null ids stay; columns other than those of ``documents`` are left out
+at the first stage, so none can clash.
 """
 
 from __future__ import annotations
