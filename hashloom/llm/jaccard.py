@@ -15,7 +15,8 @@ Stars.  In each larger tile every member is compared with ``LEADERS`` leaders, i
 rounds with different ones; what links is one component.  In a group of near copies this settles
 nearly all, at a cost in proportion to its members.  What is left are pairs of one tile
 and different components; large tiles are cut into chunks, and each pair of chunks is a
-task's work.
+task's work.  It is done twice: by folded signatures, which only tells the members that have
+a pair left, and by whole ones for these.
 
 Bitmaps.  Every candidate is first compared by signatures: a bit for each hash modulo the
 width, flipped by each member.  A differing bit needs a shingle that one set has alone, so
@@ -45,8 +46,10 @@ import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hashloom.llm.components import components
 from hashloom.llm.shared import chained, forget, released, spread_join, stretches, utf8, word_hashes, written
@@ -58,6 +61,7 @@ STRETCH = 1 << 20
 CHUNK = 512
 SMALL = 16
 ROUNDS, LEADERS = 2, 6
+MEMBER = ("h", "band", "i", "j", "own", "rep", "comp", "n", "chunk")  # of a pair of chunks of a tile
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -86,8 +90,6 @@ def _repeated(words: int, at_once: int = 1 << 21):
     """Lossy counting: shingles that several documents of a stretch share, with counts."""
 
     def run(batches):
-        import pyarrow as pa
-
         held, n = [], 0
 
         def counted():
@@ -133,8 +135,6 @@ def _described(words: int, share: tuple[int, int], frequent):
     """Every row's set size, and of sets that aren't empty key, prefix and signature."""
 
     def run(batches):
-        import pyarrow as pa
-
         often = frequent.value
         for batch in batches:
             for ids, sets in _sets_of(batch, words):
@@ -166,8 +166,6 @@ def _tiles(share: tuple[int, int]):
     the rows of larger ones as (null, rep, h, n).  Tiles of one set have none."""
 
     def run(batches):
-        import pyarrow as pa
-
         held, large = None, None  # rows of the last tile while it is small; its h once it is not
         for batch in _with_end(batches):
             if batch is not None:
@@ -238,12 +236,9 @@ def _sets(words: int, wanted, bits: int):
     """(rep, set) of the documents whose id passes the filter."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            h = batch.column("place").to_numpy().view(np.uint64) >> np.uint64(FILTER_BITS[-1] - bits)
-            hit = (wanted.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
-            for ids, sets in _sets_of(batch.filter(pa.array(hit == 1)), words):
+            hit = _in_filter(batch.column("place"), wanted.value, bits)
+            for ids, sets in _sets_of(batch.filter(pa.array(hit)), words):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "set"])
 
     return run
@@ -265,6 +260,29 @@ def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
+def _wanted(pairs: DataFrame):
+    """The filter of the ids of pairs (a, b), sent to all tasks, and its bits."""
+    ids = written(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct(), "ids")
+    wanted, bits = _filter_of(ids)
+    forget(ids)
+    return pairs.sparkSession.sparkContext.broadcast(wanted), bits
+
+
+def _in_filter(places, wanted: np.ndarray, bits: int) -> np.ndarray:
+    h = places.to_numpy().view(np.uint64) >> np.uint64(FILTER_BITS[-1] - bits)
+    return ((wanted[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)) == 1
+
+
+def _passing(table: DataFrame, wanted, bits: int) -> DataFrame:
+    """The rows whose rep passes the filter."""
+
+    @F.arrow_udf(T.BooleanType())
+    def passes(places: pa.Array) -> pa.Array:
+        return pa.array(_in_filter(places, wanted.value, bits))
+
+    return table.filter(passes(_place("rep")))
+
+
 def linked(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
     """Exact intersection of sorted arrays."""
     if len(x) > len(y):
@@ -277,8 +295,6 @@ def linked(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
 
 
 def _kept(batch, keep):
-    import pyarrow as pa
-
     return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
@@ -336,25 +352,27 @@ def _runs(batches, key: int):
         yield held
 
 
-def _tile_pairs(share: tuple[int, int]):
-    """Pairs of a tile, of different components, that the bitmap bound lets pass."""
+def _tile_pairs(share: tuple[int, int], members: bool = False):
+    """Pairs of a tile, of different components, that the bitmap bound lets pass; or, of each
+    pair of chunks, the ``members`` that are in such a pair."""
 
     def run(batches):
-        import pyarrow as pa
-
         found, n_found = [], 0
 
         def out():
+            if members:
+                return pa.RecordBatch.from_pydict(dict(zip(MEMBER, map(np.concatenate, zip(*found, strict=True)), strict=True)))
             both = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
 
-        for _, _, i0, j0, own, rep, comp, n, sig, chunk in _runs(batches, 4):
+        for h, band, i0, j0, own, rep, comp, n, sig, chunk in _runs(batches, 4):
             order = np.argsort(n, kind="stable")
             own, rep, comp, n, chunk = (x[order] for x in (own, rep, comp, n, chunk))
             sigs = [np.frombuffer(sig[i], np.uint64) for i in order.tolist()]
             width = min(map(len, sigs)) * 64
             bits = np.stack([fold(s, width) for s in sigs])
             across = i0[0] != j0[0]
+            paired = np.zeros(len(n), bool)
             for i in range(len(n) - 1):
                 hi = int(np.searchsorted(n, share[1] * n[i] // share[0], "right"))
                 j = np.arange(i + 1, hi)
@@ -367,9 +385,16 @@ def _tile_pairs(share: tuple[int, int]):
                 differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1).astype(np.int64)
                 most = (n[i] + n[j] - differ) // 2
                 j = j[share[1] * most >= share[0] * (n[i] + n[j] - most)]
-                if len(j):
+                if members:
+                    paired[j] = True
+                    paired[i] |= len(j) > 0
+                elif len(j):
                     found.append(np.stack((np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])), axis=1))
                     n_found += len(j)
+            if paired.any():
+                k = int(paired.sum())
+                found.append([*(x[:k] for x in (h, band, i0, j0)), *(x[paired] for x in (own, rep, comp, n, chunk))])
+                n_found += k
             if n_found > 1 << 18:
                 yield out()
                 found, n_found = [], 0
@@ -388,19 +413,18 @@ def _settle(pairs: DataFrame, sigs: DataFrame, placed: DataFrame, words: int, sh
     """The pairs (a, b) that link; None if there are none."""
     thin = sigs.select("rep", "n", F.col("thin").alias("sig"))
     near = written(_sides(pairs, thin, ("n", "sig")).mapInArrow(released(_bounded(share)), "a long, b long"), "near")
-    # A written table: where it is small, it is sent to the signatures and not they to it.
-    may = written(_sides(near, sigs, ("n", "sig")).mapInArrow(released(_bounded(share)), "a long, b long"), "may")
+    # Of the whole signatures only those of pairs that are left travel.
+    wanted, bits = _wanted(near)
+    may = written(_sides(near, _passing(sigs, wanted, bits), ("n", "sig")).mapInArrow(released(_bounded(share)), "a long, b long"), "may")
     forget(near)
+    wanted.unpersist()
     links = None
     if may.limit(1).count():
-        ids = written(may.select(F.col("a").alias("rep")).unionAll(may.select("b")).distinct(), "ids")
-        wanted, bits = _filter_of(ids)
-        shared = placed.sparkSession.sparkContext.broadcast(wanted)
-        sets = written(placed.mapInArrow(released(_sets(words, shared, bits)), "rep long, set binary"), "sets")
+        wanted, bits = _wanted(may)
+        sets = written(placed.mapInArrow(released(_sets(words, wanted, bits)), "rep long, set binary"), "sets")
         links = written(_sides(may, sets, ("set",)).mapInArrow(released(_verify(share)), "a long, b long"), "links")
-        for t in (sets, ids):
-            forget(t)
-        shared.unpersist()
+        forget(sets)
+        wanted.unpersist()
     forget(may)
     return links if links is not None and links.limit(1).count() else None
 
@@ -416,6 +440,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Equal sets have equal prefixes and signatures, so any will do.
     any_of = [F.first(c).alias(c) for c in ("n", "prefix", "sig", "thin")]
     stand = written(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *any_of), "sets")
+    # Of each row, what its result needs; the rest of it is in the sets.
+    described, told = told, written(told.select("doc_id", "n", "key"), "rows")
+    forget(described)
     sigs = stand.select("rep", "n", "sig", "thin")
     by_shingle = stand.select(F.explode("prefix").alias("h"), "rep", "n").repartition("h").sortWithinPartitions("h")
     dealt = written(by_shingle.mapInArrow(released(_tiles(share)), "a long, b long, h long, n long"), "tiles")
@@ -475,11 +502,17 @@ def _large(tiles: DataFrame, links: list[DataFrame | None], sigs: DataFrame, pla
     places = now.select("h", F.explode(twice).alias("p"), "rep", "comp", "n").select("h", "p.band", "p.own", "rep", "comp", "n")
     mixed = places.groupBy("h", "band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max("own").alias("home")).filter("c1 <> c2 and home")
     mixed = mixed.select("h", "band", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    left = places.join(mixed, ["h", "band"]).join(sigs.select("rep", "sig"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    spread = lambda df: df.select(*MEMBER[:-1], "sig", "chunk").repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
+    chunk = lambda df: df.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     i, j = F.least("chunk", "other"), F.greatest("chunk", "other")
-    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("h", "band", i.alias("i"), j.alias("j"), "own", "rep", "comp", "n", "sig", "chunk")
-    spread = dealt.repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
-    pairs = written(spread.mapInArrow(released(_tile_pairs(share)), "a long, b long").distinct(), "pairs")
+    left = chunk(places.join(mixed, ["h", "band"]).join(sigs.select("rep", F.col("thin").alias("sig")), "rep"))
+    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"i": i, "j": j})
+    paired = written(spread(dealt).mapInArrow(released(_tile_pairs(share, members=True)), "h long, band int, i int, j int, own boolean, rep long, comp long, n long, chunk int"), "paired")
+    wanted, bits = _wanted(paired.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    whole = paired.join(_passing(sigs.select("rep", "sig"), wanted, bits), "rep")
+    pairs = written(spread(whole).mapInArrow(released(_tile_pairs(share)), "a long, b long").distinct(), "pairs")
+    wanted.unpersist()
+    forget(paired)
     links.append(_settle(pairs, sigs, placed, words, share))
     for t in (pairs, now):
         forget(t)
