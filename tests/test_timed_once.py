@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hashloom.functions import families as fam
+from hashloom.operators import metrics, sketches
 from hashloom.plans import timings
 
 
@@ -33,3 +34,10 @@ def test_the_stream_is_made_once(spark, stream):
     for f in some:
         want = reduce(xor, [r.h for r in f.apply(all_keys, "key", "h", 3).collect()])
         assert {r.checksum for r in rows if r.function == f.name} == {want}
+
+
+def test_counted_hashes_have_the_same_counters(spark):
+    hashed = spark.createDataFrame([(h,) for h in [5, 5, 5, 4294967295, 0, 77, 77, None]], "h long")
+    use = timings.count_min(64, 3, 9)
+    rows = [("h", lambda c, r=r: fam.row_hash(c, timings.params.draw(9, "row_a", r), timings.params.draw(9, "row_b", r))) for r in range(3)]
+    assert use(hashed).first()[0] == metrics.checksum(sketches.count_min(hashed, rows, 64), "cnt").first()[0]
