@@ -47,3 +47,13 @@ def test_a_task_sends_the_k_least_hashes(spark, words, k, monkeypatch):
     for task in {r.task for r in sent}:
         mine = [r.h for r in sent if r.task == task]
         assert len(mine) <= k and np.all(np.diff(mine) > 0)
+
+
+@pytest.mark.parametrize("m", [7])
+def test_a_task_sends_a_hash_for_each_bin(spark, words, m, monkeypatch):
+    monkeypatch.setattr(timings, "HELD", 100)
+    _checked(spark, words, timings.one_permutation(m))
+    packs = packed.packed(words, "key")
+    sent = timings._hashed(packs, SOME[1], 3, timings.one_permutation(m).state).selectExpr("h", "spark_partition_id() as task").collect()
+    bins = [(r.task, r.h * m >> 32) for r in sent]
+    assert sent and len(bins) == len(set(bins))
