@@ -415,7 +415,10 @@ def _settle(pairs: DataFrame, sigs: DataFrame, placed: DataFrame, words: int, sh
     near = written(_sides(pairs, thin, ("n", "sig")).mapInArrow(released(_bounded(share)), "a long, b long"), "near")
     # Of the whole signatures only those of pairs that are left travel.
     wanted, bits = _wanted(near)
-    may = written(_sides(near, _passing(sigs, wanted, bits), ("n", "sig")).mapInArrow(released(_bounded(share)), "a long, b long"), "may")
+    # They are written first: else a task that compares them holds workers that filter as well.
+    passed = written(_passing(sigs, wanted, bits), "passed")
+    may = written(_sides(near, passed, ("n", "sig")).mapInArrow(released(_bounded(share)), "a long, b long"), "may")
+    forget(passed)
     forget(near)
     wanted.unpersist()
     links = None

@@ -72,3 +72,49 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_batches_of_stages_called_alone(spark, tmp_path, monkeypatch):
+    """A stage's frame is sent to Python in small batches also where not run() runs it."""
+    from hashloom.llm import bpe
+
+    def sizes(model, text_col, with_ids):
+        import pyarrow as pa
+
+        def run(batches):
+            for b in batches:
+                one = pa.array([b.column(text_col).nbytes])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(0, 1) for c in b.schema.names if c != text_col), one, pa.array([""]), pa.array([""])], names=[*(c for c in b.schema.names if c != text_col), "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return run
+
+    monkeypatch.setattr(bpe, "_run", sizes)
+    before = spark.conf.get(corpus_pipeline.BATCH_KEY)
+    spark.sql("select id as doc_id, repeat('some words ', 10000) as text, 'en' as lang, 's' as source, 110000L as n_chars from range(0, 90, 1, 1)").write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+        held = [r.n_tokens for r in corpus_pipeline.encode(spark, docs, str(tmp_path)).select("n_tokens").collect()]
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_KEY, before)
+    assert sum(held) >= 90 * 110_000 and max(held) < 3 << 20
+
+
+def test_one_python_worker_for_a_task(spark, monkeypatch):
+    """No frame that the near duplicates write has two Python nodes, which would run in one
+    task, with a worker for each."""
+    import re
+
+    from hashloom.llm import jaccard
+
+    plans = {}
+
+    def spied(df, label, inner=jaccard.written):
+        plans.setdefault(label, []).append(len(re.findall(r"MapInArrow|ArrowEvalPython", df._jdf.queryExecution().executedPlan().toString())))
+        return inner(df, label)
+
+    monkeypatch.setattr(jaccard, "written", spied)
+    text = " ".join(f"word{i}" for i in range(300))
+    docs = spark.createDataFrame([(k, f"{text} end{k}") for k in range(6)] + [(9, "other words of another text here")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 9: 9}
+    assert plans["may"] and max(max(n) for n in plans.values()) == 1
