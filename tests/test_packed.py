@@ -57,3 +57,18 @@ def test_a_task_sends_a_hash_for_each_bin(spark, words, m, monkeypatch):
     sent = timings._hashed(packs, SOME[1], 3, timings.one_permutation(m).state).selectExpr("h", "spark_partition_id() as task").collect()
     bins = [(r.task, r.h * m >> 32) for r in sent]
     assert sent and len(bins) == len(set(bins))
+
+
+def test_a_task_sends_its_counters(spark, words, monkeypatch):
+    monkeypatch.setattr(timings, "HELD", 100)
+    use = timings.count_min(64, 3, 9)
+    packs = packed.packed(words, "key")
+    sent = timings._counted(packs, SOME[1], 3, use.counters).selectExpr("*", "spark_partition_id() as task").collect()
+    cells = [(r.task, r.row, r.col) for r in sent]
+    assert len(cells) == len(set(cells)) <= 3 * 65 * len({r.task for r in sent})
+    for row in range(3):
+        assert sum(r.cnt for r in sent if r.row == row) == len(WORDS) + 2
+        assert sum(r.cnt for r in sent if r.row == row and r.col is None) == 2
+    monkeypatch.setattr(timings, "_hashed", None)  # no hash leaves a task
+    _checked(spark, words, use)
+    assert timings.timed(spark, words.limit(0), "key", SOME[:1], use, 3, rounds=1).first().checksum is None
